@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import lines, simhash
+from emberline.llm import langid, lines, quality, simhash
 from emberline.session import table
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup_digest(table(spark, sf_dir, "documents"))
 
@@ -18,8 +22,13 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_digest(table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_simhash_near_dedup": op6_simhash_near_dedup, "op8_line_dedup": op8_line_dedup}
+    own = (op6_simhash_near_dedup, op7_quality_classifier, op8_line_dedup, op10_language_id)
+    return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
