@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import langid, lines, quality, simhash
+from emberline.llm import langid, lines, packing, quality, simhash
 from emberline.session import table
 
 
@@ -18,6 +18,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup_digest(table(spark, sf_dir, "documents"))
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_digest(table(spark, sf_dir, "documents"))
 
@@ -27,7 +31,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op6_simhash_near_dedup, op7_quality_classifier, op8_line_dedup, op10_language_id)
+    own = (op1_packing, op6_simhash_near_dedup, op7_quality_classifier, op8_line_dedup, op10_language_id)
     return {f.__name__: f for f in own}
 
 
