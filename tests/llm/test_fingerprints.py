@@ -75,4 +75,4 @@ def test_densification_of_short_texts(spark):
 def test_empty_and_single(spark):
     assert fp.fingerprint_digest(spark.createDataFrame([], SCHEMA)).count() == 0
     r = fp.fingerprint_digest(spark.createDataFrame([(3, "a b c d e f", None, None)], SCHEMA)).collect()
-    assert len(r) == 1 and r[0]["near_next"] == 1.0 and r[0]["edited_sha256"] == hashlib.sha256(b"a b c da b").hexdigest()
+    assert len(r) == 1 and r[0]["near_next"] == 1.0 and r[0]["edited_sha256"] == hashlib.sha256(b"a b c d a b").hexdigest()
