@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import decontam, fingerprints, langid, lines, packing, pii, quality, simhash
+from emberline.llm import decontam, fingerprints, langid, lines, packing, pii, quality, simhash, substrings
 from emberline.session import table
 
 
@@ -30,6 +30,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.substring_digest(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_digest(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_packing, op3_fingerprints, op4_decontamination, op6_simhash_near_dedup, op7_quality_classifier, op8_line_dedup, op9_pii, op10_language_id)
+    own = (op1_packing, op3_fingerprints, op4_decontamination, op5_substring_dedup, op6_simhash_near_dedup, op7_quality_classifier, op8_line_dedup, op9_pii, op10_language_id)
     return {f.__name__: f for f in own}
 
 
