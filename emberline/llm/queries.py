@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberline.llm import decontam, fingerprints, langid, lines, packing, pii, quality, simhash, substrings
+from emberline.llm import decontam, fingerprints, langid, licenses, lines, packing, pii, quality, simhash, substrings
 from emberline.session import table
 
 
@@ -22,6 +22,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_digest(table(spark, sf_dir, "documents"))
 
@@ -47,9 +51,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_packing, op3_fingerprints, op4_decontamination, op5_substring_dedup, op6_simhash_near_dedup, op7_quality_classifier, op8_line_dedup, op9_pii, op10_language_id)
+    own = (op1_packing, op2_license_scan, op3_fingerprints, op4_decontamination, op5_substring_dedup, op6_simhash_near_dedup, op7_quality_classifier, op8_line_dedup, op9_pii, op10_language_id)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_dedup": lines.ORACLE}
+    return {"op2_license_scan": licenses.oracle(), "op8_line_dedup": lines.ORACLE}
