@@ -8,13 +8,12 @@ white space, as bytes.split() gives them.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberline.session import materialize
+
 ASCII_SPACE = r"\x20\x09-\x0D"
 
 
@@ -39,8 +38,10 @@ def crc32_of_id() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary"))
 
 
-def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(f, schema)
+def without_ids(docs: DataFrame, gone: DataFrame, few: int = 1 << 20) -> DataFrame:
+    """Documents (all their columns) whose doc_id isn't in gone. Up to `few` ids are broadcast, more go by a shuffle."""
+    ids, _ = materialize(gone.select(F.col("doc_id").alias("__id")).distinct(), "gone-ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= few else ids, F.col("doc_id") == F.col("__id"), "left_anti")
 
 
 def mix(x: np.ndarray) -> np.ndarray:

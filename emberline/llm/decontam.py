@@ -28,7 +28,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import slim
+from emberline.llm.common import slim, without_ids
 from emberline.llm.fingerprints import let, long, shingle_hashes
 from emberline.session import materialize
 
@@ -141,6 +141,5 @@ def _scan(docs: DataFrame, own: DataFrame, width: int, similarity: float, radius
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents (all their columns) that hold no benchmark item."""
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("__id"), "left_anti")
+    """Documents (all their columns) that hold no benchmark item. Rows without doc_id stay."""
+    return without_ids(docs, contaminated(docs, benchmark).select("doc_id"))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from emberline.llm import decontam, fingerprints, langid, licenses, lines, packing, pii, quality, simhash, substrings
 from emberline.session import table
 
@@ -52,7 +53,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = (op1_packing, op2_license_scan, op3_fingerprints, op4_decontamination, op5_substring_dedup, op6_simhash_near_dedup, op7_quality_classifier, op8_line_dedup, op9_pii, op10_language_id)
-    return {f.__name__: f for f in own}
+    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

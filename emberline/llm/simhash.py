@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import runs, slim
+from emberline.llm.common import runs, slim, without_ids
 from emberline.operators.components import connected_components
 from emberline.session import materialize
 
@@ -197,8 +197,7 @@ def keep_one_of_each(docs: DataFrame, words: int = 3, radius: int = 11, segments
 
     Near copies share 0.8 or more of their five-word shingles. At that similarity fingerprints of three-word shingles
     lie within 11 bits and those of five-word shingles within 14; both must hold, which unrelated texts don't reach.
+    Rows without doc_id stay; repeated rows of a doc_id are one document and stay or go together.
     """
     found = near_duplicate_components(docs, words, radius, segments, reach, check_words, check_radius)
-    stay = found.where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    first = docs.where(F.col("doc_id").isNotNull())
-    return first.join(stay, F.col("doc_id") == F.col("__id"), "left_semi")
+    return without_ids(docs, found.where("doc_id <> component_id").select("doc_id"))
