@@ -9,7 +9,7 @@ doc_id; windows are judged on the input.
    it can't be missed. Probes travel as packed arrays, a few bytes each, by bucket of their hash; a hash that
    several documents of one batch share is settled there and sent once, so a passage that a third of all
    documents hold costs a bucket one entry a batch. Hashes meet on 32 bits of the bucket: false anchors cost
-   a look and change nothing.
+   a look and change nothing. A bucket answers each batch in one row, and a batch's answers meet again by batch.
 2. Extension. Around the anchors, in documents that have any, each window of `window` words is keyed by 128 bits
    and compared with the smallest doc_id that has it, again first within a batch. Windows found in a smaller
    document, joined where they overlap, are the maximal repeats to remove.
@@ -40,7 +40,8 @@ FLUSH = 1 << 20  # windows that are settled together
 Q = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd multipliers
 POWERS = [np.multiply.accumulate(np.array([1] + [q] * CHUNK, np.uint64)) for q in Q]
 INVERSES = [np.multiply.accumulate(np.array([1] + [pow(q, -1, 1 << 64)] * CHUNK, np.uint64)) for q in Q]
-ROWS = "bucket int, kind int, keys binary, flags binary, docs binary, counts binary, pos binary"
+ROWS = "bucket int, flush long, kind int, keys binary, flags binary, docs binary, counts binary, pos binary"
+REPLIES = "flush long, docs binary, counts binary, pos binary"
 RANGES = "doc_id long, ranges binary"
 
 
@@ -78,19 +79,19 @@ def to_ranges(slot: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return slot[first], pos[first], pos[last] + 1
 
 
-def _row(bucket: int, kind: int, keys: bytes, flags: bytes, docs: np.ndarray, pos: np.ndarray) -> tuple:
-    """docs ascends in runs; each run becomes one difference and one count."""
+def _packed(docs: np.ndarray, pos: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Places by document: each run of one doc_id becomes a difference and a count."""
     at = runs(docs)
-    return bucket, kind, keys, flags, planes(np.diff(docs[at[:-1]], prepend=np.int64(0))), planes(np.diff(at).astype(np.uint32)), planes(pos.astype(np.uint32))
+    return planes(np.diff(docs[at[:-1]], prepend=np.int64(0))), planes(np.diff(at).astype(np.uint32)), planes(pos.astype(np.uint32))
 
 
-def _unrow(docs: bytes, counts: bytes, pos: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(docs: bytes, counts: bytes, pos: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.cumsum(unplanes(docs, np.int64)), unplanes(counts, np.uint32)), unplanes(pos, np.uint32)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
-    return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "kind", "keys", "flags", "docs", "counts", "pos"])
+    kinds = [pa.int32(), pa.int64(), pa.int32(), *[pa.binary()] * 5]
+    return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=["bucket", "flush", "kind", "keys", "flags", "docs", "counts", "pos"])
 
 
 def _range_rows(ids: np.ndarray, slot: np.ndarray, pos: np.ndarray, n_buckets: int) -> list[tuple]:
@@ -99,19 +100,16 @@ def _range_rows(ids: np.ndarray, slot: np.ndarray, pos: np.ndarray, n_buckets: i
         return []
     slot, first, end = to_ranges(slot, pos)
     bucket = int(mix(np.array([ids[slot[0]]]).view(np.uint64))[0] % np.uint64(n_buckets))
-    at = runs(slot)
-    docs = ids[slot]
-    both = np.stack([first, end], 1).ravel()
-    return [(bucket, 1, b"", b"", planes(docs[at[:-1]]), planes(np.diff(at).astype(np.uint32)), planes(both.astype(np.uint32)))]
+    return [(bucket, int(ids[0]), 1, b"", b"", *_packed(np.repeat(ids[slot], 2), np.stack([first, end], 1).ravel()))]
 
 
-def _send(bucket: np.ndarray, keys: list[np.ndarray], flags: np.ndarray, docs: np.ndarray, pos: np.ndarray) -> list[tuple]:
+def _send(flush: int, bucket: np.ndarray, keys: list[np.ndarray], flags: np.ndarray, docs: np.ndarray, pos: np.ndarray) -> list[tuple]:
     by = np.argsort(bucket, kind="stable")
     at = runs(bucket[by])
     rows = []
     for a, b in zip(at[:-1], at[1:], strict=True):
         s = by[a:b]
-        rows.append(_row(int(bucket[s[0]]), 0, b"".join(k[s].tobytes() for k in keys), flags[s].tobytes(), docs[s], pos[s]))
+        rows.append((int(bucket[s[0]]), flush, 0, b"".join(k[s].tobytes() for k in keys), flags[s].tobytes(), *_packed(docs[s], pos[s])))
     return rows
 
 
@@ -134,7 +132,7 @@ def _anchors(block: int, n_buckets: int, flush: int):
         mark[order[at[:-1][shared]]] = True
         flags[mark[go]] |= 2
         bucket = (h[go] % np.uint64(n_buckets)).astype(np.int32)
-        return _send(bucket, [(h[go] >> np.uint64(32)).astype(np.uint32)], flags, ids[slot[go]], pos[go]) + _range_rows(ids, slot[here], pos[here], n_buckets)
+        return _send(int(ids[0]), bucket, [(h[go] >> np.uint64(32)).astype(np.uint32)], flags, ids[slot[go]], pos[go]) + _range_rows(ids, slot[here], pos[here], n_buckets)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -153,35 +151,26 @@ def _anchors(block: int, n_buckets: int, flush: int):
     return f
 
 
-def _pack_ranges(docs: np.ndarray, first: np.ndarray, end: np.ndarray) -> pa.Table:
-    order = np.lexsort((first, docs))
-    docs = docs[order]
-    both = np.stack([first[order], end[order]], 1).astype(np.uint32)
-    at = runs(docs)
-    return pa.table([pa.array(docs[at[:-1]], pa.int64()), pa.array([both[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["doc_id", "ranges"])
-
-
 def _met(parts: int):
-    """Settle a bucket. parts 1: anchors (32-bit keys); parts 2: windows (128-bit keys)."""
+    """Settle a bucket: what each batch sent, it gets back cut to the places that met, as ranges.
+
+    parts 1: anchors (32-bit keys); parts 2: windows (128-bit keys).
+    """
 
     def f(table: pa.Table) -> pa.Table:
+        out, rows = [], []
         keys: list[list[np.ndarray]] = [[] for _ in range(parts)]
-        flags, docs, pos, out = [], [], [], []
-        for kind, key, flag, d, c, p in zip(*(table[x].to_pylist() for x in ("kind", "keys", "flags", "docs", "counts", "pos")), strict=True):
-            own, places = _unrow(d, c, p) if kind == 0 else (None, None)
-            if kind:
-                both = unplanes(p, np.uint32).reshape(-1, 2)
-                out.append((np.repeat(unplanes(d, np.int64), unplanes(c, np.uint32)), both[:, 0], both[:, 1]))
+        for flush, kind, key, flag, d, c, p in zip(*(table[x].to_pylist() for x in ("flush", "kind", "keys", "flags", "docs", "counts", "pos")), strict=True):
+            if kind:  # settled where it came from
+                out.append((flush, d, c, p))
                 continue
             raw = np.frombuffer(key, np.uint32 if parts == 1 else np.uint64).reshape(parts, -1)
             for k in range(parts):
                 keys[k].append(raw[k])
-            flags.append(np.frombuffer(flag, np.uint8))
-            docs.append(own)
-            pos.append(places)
-        if docs:
+            rows.append((flush, np.frombuffer(flag, np.uint8), *_unpacked(d, c, p)))
+        if rows:
             key = [np.concatenate(k) for k in keys]
-            doc, place, flag = np.concatenate(docs), np.concatenate(pos), np.concatenate(flags)
+            flag, doc, place = (np.concatenate([r[k] for r in rows]) for k in (1, 2, 3))
             order = np.argsort(key[0]) if parts == 1 else np.lexsort((key[1], key[0]))
             at = runs(*[k[order] for k in key])
             d, begin, size = doc[order], at[:-1], np.diff(at)
@@ -192,14 +181,31 @@ def _met(parts: int):
                 hit = order[np.repeat(good, size) & (flag[order] & 2 == 0)]
             else:
                 hit = order[d > np.repeat(low, size)]
-            out.append((doc[hit], place[hit], place[hit] + np.uint32(1)))
-        if not out:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.binary())], names=["doc_id", "ranges"])
-        return _pack_ranges(*(np.concatenate([o[k] for o in out]) for k in range(3)))
+            met = np.zeros(len(doc), bool)
+            met[hit] = True
+            ends = np.cumsum([len(r[2]) for r in rows])
+            for (flush, *_), end, n in zip(rows, ends, [len(r[2]) for r in rows], strict=True):
+                own = np.flatnonzero(met[end - n : end]) + end - n
+                if len(own):
+                    out.append((flush, *_packed(np.repeat(doc[own], 2), np.stack([place[own], place[own] + 1], 1).ravel())))
+        kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        return pa.table([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["flush", "docs", "counts", "pos"])
 
     return f
 
 
+def _gathered(table: pa.Table) -> pa.Table:
+    """One batch's replies, by document."""
+    both = [_unpacked(d, c, p) for d, c, p in zip(*(table[x].to_pylist() for x in ("docs", "counts", "pos")), strict=True)]
+    docs = np.concatenate([b[0][::2] for b in both])
+    pairs = np.concatenate([b[1] for b in both]).reshape(-1, 2)
+    order = np.lexsort((pairs[:, 0], docs))
+    docs, pairs = docs[order], pairs[order]
+    at = runs(docs)
+    return pa.table([pa.array(docs[at[:-1]], pa.int64()), pa.array([pairs[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["doc_id", "ranges"])
+
+
 def _marked(ranges: list[bytes], n: int, reach: int = 0) -> np.ndarray:
     """How many ranges cover each place below n, each stretched back by reach."""
     steps = np.zeros(n + 1, np.int64)
@@ -224,7 +230,7 @@ def _windows(window: int, n_buckets: int, flush: int):
         later = docs > np.repeat(np.minimum.reduceat(docs, at[:-1]), np.diff(at))
         here, go = np.sort(order[later]), np.sort(order[~later])
         bucket = (a[go] % np.uint64(n_buckets)).astype(np.int32)
-        return _send(bucket, [a[go], b[go]], np.zeros(len(go), np.uint8), ids[slot[go]], pos[go]) + _range_rows(ids, slot[here], pos[here], n_buckets)
+        return _send(int(ids[0]), bucket, [a[go], b[go]], np.zeros(len(go), np.uint8), ids[slot[go]], pos[go]) + _range_rows(ids, slot[here], pos[here], n_buckets)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -246,7 +252,8 @@ def _windows(window: int, n_buckets: int, flush: int):
 
 
 def _by_bucket(rows: DataFrame, parts: int) -> DataFrame:
-    return rows.groupBy("bucket").applyInArrow(_met(parts), RANGES).groupBy("doc_id").agg(F.collect_list("ranges").alias("ranges"))
+    replies = rows.groupBy("bucket").applyInArrow(_met(parts), REPLIES)
+    return replies.groupBy("flush").applyInArrow(_gathered, RANGES).groupBy("doc_id").agg(F.collect_list("ranges").alias("ranges"))
 
 
 def repeated_windows(texts: DataFrame, docs: DataFrame, n_buckets: int, window: int = WINDOW, flush: int = FLUSH) -> DataFrame:
