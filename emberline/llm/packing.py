@@ -121,12 +121,13 @@ def column_generation(lengths: np.ndarray, demand: np.ndarray, size: int, start:
         if inverse.sum(0) @ pattern <= 1 + 1e-7:  # every pattern costs one sequence
             return False
         d = inverse @ pattern
-        able = d > 1e-9
+        able = d > 1e-7
         if not able.any():
             return False
         ratio = np.full(m, np.inf)
         ratio[able] = x[able] / d[able]
-        out = int(ratio.argmin())
+        tied = np.flatnonzero(ratio <= ratio.min() + 1e-9)
+        out = int(tied[d[tied].argmax()])  # of equal steps the largest pivot keeps the basis regular
         step = ratio[out]
         x = np.maximum(x - step * d, 0)
         x[out] = step
@@ -136,16 +137,19 @@ def column_generation(lengths: np.ndarray, demand: np.ndarray, size: int, start:
         inverse[out] = row
         basis[:, out] = pattern
         entered += 1
-        if entered % 500 == 0:  # against rounding errors
+        if entered % 200 == 0:  # against rounding errors
             inverse = np.linalg.inv(basis)
             x = np.maximum(inverse @ demand, 0)
         return True
 
-    for pattern in start:
-        enter(pattern.astype(float))
-    while entered < max_columns and x.sum() > bound * (1 + gap):
-        if not sum([enter(p) for value, p in _price(lengths, inverse.sum(0), size) if value > 1 + 1e-7]):
-            break
+    try:
+        for pattern in start:
+            enter(pattern.astype(float))
+        while entered < max_columns and x.sum() > bound * (1 + gap):
+            if not sum([enter(p) for value, p in _price(lengths, inverse.sum(0), size) if value > 1 + 1e-7]):
+                break
+    except np.linalg.LinAlgError:  # a basis that rounding made singular: its patterns are still patterns
+        pass
     return basis.T, x
 
 
