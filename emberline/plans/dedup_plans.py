@@ -1 +1,116 @@
-"""Queries."""
+"""Duplicate, phrase and component queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from emberline.functions import text, urls
+from emberline.operators import dedup, ngrams
+from emberline.operators.components import connected_components
+from emberline.operators.windows import keep_first
+from emberline.plans.base import query
+from emberline.plans.text_plans import FOLD
+from emberline.session import table
+
+SHINGLES = f"""n AS (SELECT doc_id, sha256({FOLD.format('text')}) AS hash, string_split({FOLD.format('text')}, ' ')[1:5000] AS w FROM documents),
+sh AS (SELECT doc_id, hash, list_distinct(list_transform(list_filter(range(0, greatest(len(w) - 5, 0) + 1, 3), lambda i: i + 5 <= len(w)), lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS s FROM n),
+rep AS (SELECT min(doc_id) AS id, arg_min(s, doc_id) AS s, hash FROM sh GROUP BY hash), f AS (SELECT id, len(s) AS n, unnest(s) AS h FROM rep),
+pairs AS (SELECT a.id AS later, b.id AS earlier, count(*) / greatest(least(any_value(a.n), any_value(b.n)), 1) AS overlap FROM f a JOIN f b ON a.h = b.h AND b.id < a.id WHERE a.n > 40 GROUP BY ALL HAVING overlap > 0.82)"""
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id > min(doc_id) OVER w THEN min(doc_id) OVER w END AS duplicate_of FROM documents WINDOW w AS (PARTITION BY sha256({FOLD.format('text')}))")
+def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.content_hash(F.col("text")).alias("h"))
+    first = docs.groupBy("h").agg(F.min("doc_id").alias("first"))
+    return docs.join(first, "h").select("doc_id", F.when(F.col("doc_id") > F.col("first"), F.col("first")).alias("duplicate_of"))
+
+
+@query(f"WITH {SHINGLES} SELECT later, earlier, round(overlap, 6) AS overlap FROM pairs")
+def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.overlap_pairs(dedup.shingled(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+@query(f"WITH {SHINGLES} SELECT sh.doc_id AS id, sh.doc_id <> rep.id OR EXISTS (SELECT 1 FROM pairs WHERE later = rep.id) AS is_duplicate FROM sh JOIN rep USING (hash)")
+def near_dup_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The SQL's order-free form equals the rule wherever no duplicate is another's only match, as in these tables."""
+    return dedup.near_duplicates(table(spark, sf_dir, "documents"), "doc_id", "text").select("id", F.col("duplicate_of").isNotNull().alias("is_duplicate"))
+
+
+def technologies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One item for each distinct name and type: id is the smallest part key."""
+    name = F.concat_ws(" ", "p_name", F.lower("p_type"))
+    return table(spark, sf_dir, "part").groupBy(name.alias("name")).agg(F.min("p_partkey").alias("id")).withColumn("words", text.technology_words(F.col("name")))
+
+
+TECH = """t AS (SELECT p_name || ' ' || lower(p_type) AS name, min(p_partkey) AS id FROM part GROUP BY 1),
+w AS (SELECT id, list_transform(list_filter(regexp_extract_all(name, '[\\p{L}\\p{N}_-]+'), lambda x: length(x) > 1), lambda x: CASE WHEN length(x) > 4 AND ends_with(x, 's') AND NOT ends_with(x, 'ss') THEN substr(x, 1, length(x) - 1) ELSE x END) AS w FROM t),
+p AS (SELECT b.id AS later, a.id AS earlier FROM w a, w b WHERE a.id < b.id AND (len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) >= 0.5 OR len(list_intersect(a.w, b.w)) IN (len(list_distinct(a.w)), len(list_distinct(b.w)))
+  OR list_has_any(list_transform(range(1, len(a.w)), lambda i: a.w[i] || ' ' || a.w[i + 1]), list_transform(range(1, len(b.w)), lambda i: b.w[i] || ' ' || b.w[i + 1]))))"""
+
+
+@query(f"WITH {TECH} SELECT later, earlier FROM p")
+def same_technology_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.word_pairs(technologies(spark, sf_dir), "words", dedup.same_technology(F.col("a"), F.col("b")))
+
+
+@query(f"""WITH RECURSIVE {TECH}, e AS (SELECT later AS a, earlier AS b FROM p UNION SELECT earlier, later FROM p),
+r AS (SELECT a AS node, a AS reach FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach) SELECT node, min(reach) AS component FROM r GROUP BY node""")
+def technology_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return connected_components(dedup.word_pairs(technologies(spark, sf_dir), "words", dedup.same_technology(F.col("a"), F.col("b"))), "later", "earlier")
+
+
+@query("""WITH RECURSIVE l AS (SELECT DISTINCT page_id AS doc, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)), '^www\\.', '') AS host FROM pages), e AS (SELECT DISTINCT a.doc AS a, b.doc AS b FROM l a JOIN (SELECT min(doc) AS doc, host FROM l GROUP BY host) b USING (host)),
+s AS (SELECT a, b FROM e WHERE a <> b UNION SELECT b, a FROM e WHERE a <> b), r AS (SELECT a AS node, a AS reach FROM s UNION SELECT r.node, s.b FROM r JOIN s ON s.a = r.reach) SELECT node, min(reach) AS component FROM r GROUP BY node""")
+def shared_host_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items that share a source are linked through the source's first item: as many links as sources have items."""
+    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc"), urls.host_of(F.col("url")).alias("host")).distinct()
+    first = pages.groupBy("host").agg(F.min("doc").alias("first"))
+    return connected_components(pages.join(first, "host"), "doc", "first")
+
+
+@query("""WITH t AS (SELECT DISTINCT lower(p_name) AS name FROM part), w AS (SELECT name, list_distinct(list_filter(string_split(name, ' '), lambda x: length(x) > 3)) AS w FROM t)
+SELECT a.name AS a, b.name AS b, round(len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))), 6) AS jaccard FROM w a, w b WHERE a.name < b.name AND len(list_intersect(a.w, b.w)) > 0""")
+def name_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "part").select(F.lower("p_name").alias("name")).distinct()
+    words = names.select("name", F.array_distinct(F.filter(F.split("name", " "), lambda x: F.length(x) > 3)).alias("w"))
+    by = words.select("name", "w", F.explode("w").alias("word"))
+    met = by.select(F.col("name").alias("a"), F.col("w").alias("wa"), "word").join(by.select(F.col("name").alias("b"), F.col("w").alias("wb"), "word"), "word").where("a < b").dropDuplicates(["a", "b"])
+    return met.select("a", "b", F.round(dedup.jaccard(F.col("wa"), F.col("wb")), 6).alias("jaccard"))
+
+
+@query("""WITH r AS (SELECT p_partkey AS id, p_name AS term, CASE WHEN p_partkey % 5 = 0 THEN 'small ring' WHEN p_partkey % 11 = 0 THEN 'unknown owner' END AS alias_of, (p_size % 50 = 0)::INT AS label, p_partkey % 3 = 0 AS ours FROM part),
+g AS (SELECT r.*, CASE WHEN alias_of IN (SELECT term FROM r) THEN alias_of ELSE term END AS term_group FROM r),
+f AS (SELECT term_group, count(DISTINCT label) > 1 AS bad, array_to_string(list_sort(list_distinct(list(term))), '|') AS aliases FROM g GROUP BY term_group)
+SELECT term_group, id, label, aliases FROM g JOIN f USING (term_group) WHERE NOT bad QUALIFY row_number() OVER (PARTITION BY term_group ORDER BY ours DESC, id) = 1""")
+def alias_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(k.alias("id"), F.col("p_name").alias("term"), F.when(k % 5 == 0, "small ring").when(k % 11 == 0, "unknown owner").alias("alias_of"), (F.col("p_size") % 50 == 0).cast("int").alias("label"), (k % 3 == 0).alias("ours"))
+    return dedup.merge_aliases(rows).select("term_group", "id", "label", F.array_join("aliases", "|").alias("aliases"))
+
+
+GRAMS = """w AS (SELECT {key}regexp_extract_all(lower({text}), '[a-z][a-z0-9\\-]+') AS w FROM {table}), g AS (SELECT {key}unnest(list_concat(list_transform(range(1, greatest(len(w), 1)), lambda i: array_to_string(w[i:i + 1], ' ')),
+ list_transform(range(1, greatest(len(w) - 1, 1)), lambda i: array_to_string(w[i:i + 2], ' ')), list_transform(range(1, greatest(len(w) - 2, 1)), lambda i: array_to_string(w[i:i + 3], ' ')))) AS phrase FROM w)"""
+
+
+@query("WITH " + GRAMS.format(key="", text="text", table="benchmark") + " SELECT phrase, count(*) AS n FROM g GROUP BY phrase")
+def ngram_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.phrase_counts(table(spark, sf_dir, "benchmark"), "text")
+
+
+@query("WITH c AS (SELECT p_name AS phrase, count_if(p_size > 25) AS recent, count_if(p_size <= 25) AS base FROM part GROUP BY p_name), m AS (SELECT max(recent) AS median FROM (SELECT recent, row_number() OVER (ORDER BY recent) AS k, count(*) OVER () AS c FROM c) WHERE k = c // 2 + 1)"
+       " SELECT phrase, recent, base, round((recent + 1) / (base + 1), 6) AS growth, CASE WHEN (recent + 1) / (base + 1) >= 2 THEN CASE WHEN recent > median THEN 'high_volume_rising' ELSE 'rising_rare' END WHEN (recent + 1) / (base + 1) <= 1.2 THEN CASE WHEN recent > median THEN 'established_flat' ELSE 'stagnant' END"
+       " ELSE CASE WHEN recent > median THEN 'established_flat' ELSE 'rising_rare' END END AS stratum FROM c, m")
+def phrase_strata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("phrase")).agg(F.count_if(F.col("p_size") > 25).alias("recent"), F.count_if(F.col("p_size") <= 25).alias("base"))
+    return ngrams.strata(c)
+
+
+@query()
+def nested_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.collapse_nested(ngrams.phrase_counts(table(spark, sf_dir, "benchmark"), "text"))
+
+
+@query("SELECT page_id, host FROM (SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)), '^www\\.', '') AS host FROM pages) QUALIFY row_number() OVER (PARTITION BY host ORDER BY page_id) = 1")
+def keep_first_by_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keep_first(table(spark, sf_dir, "pages").select("page_id", urls.host_of(F.col("url")).alias("host")), ["host"], [F.col("page_id")])

@@ -214,9 +214,9 @@ def date_prefixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _rates_sql() -> str:
     rows = ", ".join(f"('{c}', {y}, {r})" for c, own in money.USD_RATES.items() for y, r in own.items())
     return f"""WITH r(currency, y, rate) AS (VALUES {rows}),
-o AS (SELECT o_orderkey, o_totalprice AS amount, year(o_orderdate) + 20 AS y, ['USD', 'EUR', 'GBP', 'RUB', 'XXX'][1 + o_orderkey % 5] AS currency FROM orders),
+o AS (SELECT o_orderkey, floor(o_totalprice) + 0.3::DOUBLE AS amount, year(o_orderdate) + 20 AS y, ['USD', 'EUR', 'GBP', 'RUB', 'XXX'][1 + o_orderkey % 5] AS currency FROM orders),
 n AS (SELECT o_orderkey, amount, o.currency, arg_min(rate, abs(r.y - o.y) * 10000 + r.y) AS rate FROM o LEFT JOIN r ON r.currency = o.currency GROUP BY ALL)
-SELECT o_orderkey, CASE WHEN currency = 'USD' THEN round((amount / 1000000)::DECIMAL(30, 12), 6)::DOUBLE ELSE round((amount / rate::DOUBLE / 1000000)::DECIMAL(30, 12), 6)::DOUBLE END AS usd_m FROM n"""
+SELECT o_orderkey, CASE WHEN currency = 'USD' THEN round(amount / 1000000, 6) ELSE round(amount / rate::DOUBLE / 1000000, 6) END AS usd_m FROM n"""
 
 
 @query(_rates_sql())
@@ -224,7 +224,7 @@ def nearest_rate_usd(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*map(F.lit, ("USD", "EUR", "GBP", "RUB", "XXX")))
     orders = table(spark, sf_dir, "orders")
     currency = F.element_at(names, (F.col("o_orderkey") % 5 + 1).cast("int"))
-    return orders.select("o_orderkey", money.to_usd_m(F.col("o_totalprice"), currency, F.year("o_orderdate") + 20).alias("usd_m"))
+    return orders.select("o_orderkey", money.to_usd_m(F.floor("o_totalprice") + F.lit(0.3), currency, F.year("o_orderdate") + 20).alias("usd_m"))
 
 
 @query(r"""WITH t AS (SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'Acme raises $' || l_linenumber || '.5 million in Series B' WHEN 1 THEN 'Beta secures €' || l_linenumber || ',2bn seed round' WHEN 2 THEN 'Pre-seed: £' || l_linenumber || '00k for Gamma' ELSE 'Delta opens an office' END AS title FROM lineitem)
