@@ -17,8 +17,16 @@ from emberline.session import materialize
 ASCII_SPACE = r"\x20\x09-\x0D"
 
 
+def small_batches(docs: DataFrame, rows: int = 1000) -> None:
+    """Texts are long: unless the session says otherwise, they go to Python in batches of `rows`, not of 10,000."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if docs.sparkSession.conf.get(name) == "10000":
+        docs.sparkSession.conf.set(name, str(rows))
+
+
 def slim(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id (long) and text (null: empty), and what else is named. Rows without a doc_id can't be told apart and go."""
+    small_batches(docs)
     return docs.where(F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *more
     )

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import crc32_of_id, slim
+from emberline.llm.common import crc32_of_id, slim, small_batches
 
 PIECE = 1 << 16
 
@@ -182,6 +182,7 @@ def language_digest(docs: DataFrame) -> DataFrame:
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     """The documents (all their columns) whose language the model accepts."""
+    small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
