@@ -113,12 +113,12 @@ def evidence_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spine.join(n, ["channel", "y"], "left").select("channel", "y", F.when(covered, F.coalesce("n", F.lit(0))).alias("n"))
 
 
-@query("""WITH i AS (SELECT o_custkey % 200 AS k, o_orderdate::DATE AS a, o_orderdate::DATE + 40 AS b FROM orders), g AS (SELECT *, max(b) OVER (PARTITION BY k ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM i),
+@query("""WITH i AS (SELECT o_custkey % 60 AS k, o_orderdate::DATE AS a, o_orderdate::DATE + 40 AS b FROM orders), g AS (SELECT *, max(b) OVER (PARTITION BY k ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM i),
 s AS (SELECT *, sum((before IS NULL OR a > before + 1)::INT) OVER (PARTITION BY k ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS island FROM g), u AS (SELECT k, island, min(a) AS a, max(b) AS b FROM s GROUP BY k, island)
 SELECT k, year(y)::BIGINT AS y FROM u, unnest(generate_series(DATE '1994-01-01', DATE '2002-01-01', INTERVAL 1 YEAR)) AS t(y) WHERE a <= y AND b >= y + INTERVAL 1 YEAR - INTERVAL 1 DAY""")
 def covered_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Years that the union of an item's intervals covers whole: gaps and islands, then a year spine."""
-    i = table(spark, sf_dir, "orders").select((c("o_custkey") % 200).alias("k"), F.to_date("o_orderdate").alias("a"), F.date_add(F.to_date("o_orderdate"), 40).alias("b"))
+    i = table(spark, sf_dir, "orders").select((c("o_custkey") % 60).alias("k"), F.to_date("o_orderdate").alias("a"), F.date_add(F.to_date("o_orderdate"), 40).alias("b"))
     by = Window.partitionBy("k").orderBy("a", "b")
     g = i.withColumn("before", F.max("b").over(by.rowsBetween(Window.unboundedPreceding, -1)))
     new = (c("before").isNull() | (c("a") > F.date_add("before", 1))).cast("int")
