@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import crc32_of_id, slim, small_batches
+from emberline.llm.common import crc32_of_id, hash_sample, slim, small_batches
 
 PIECE = 1 << 16
 
@@ -155,7 +155,7 @@ def fit(docs: DataFrame, learn_from: Column | None = None, sample_rows: int = 40
     rows = slim(docs, "lang").where(F.col("lang").isNotNull() & (F.length("text") <= sample_chars))
     if learn_from is not None:
         rows = rows.where(learn_from)
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text", "lang").limit(sample_rows).collect()
+    rows = hash_sample(rows, sample_rows, "doc_id", "text", "lang").collect()
     return train([r["text"] for r in rows], [r["lang"] for r in rows], **params)
 
 

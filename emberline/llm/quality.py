@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import crc32_of_id, mix, slim
+from emberline.llm.common import crc32_of_id, hash_sample, mix, slim
 
 TOKEN = re.compile(rb"[0-9A-Za-z_\x80-\xff]+|[^\s0-9A-Za-z_\x80-\xff]+")
 PIECE = 1 << 18
@@ -105,7 +105,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column | None = None, sa
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     if learn_from is not None:
         known = known.where(learn_from)
-    known = known.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    known = hash_sample(known.groupBy("doc_id").agg(F.max("quality").alias("quality")), sample_rows, "doc_id")
     rows = slim(docs).where(F.length("text") <= sample_chars).join(F.broadcast(known), "doc_id").collect()
     rows = sorted({(r["doc_id"], r["text"], r["quality"]) for r in rows})
     return train([r[1] for r in rows], [r[2] for r in rows], **params)
