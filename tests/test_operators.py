@@ -206,3 +206,65 @@ def test_stream_drops_repeats_and_late_rows(spark, tmp_path):
         q.processAllAvailable()
     q.stop()
     assert {(str(r["day"])[:10], r["n"]) for r in spark.table("activity").collect()} >= {("2024-01-01", 1), ("2024-01-03", 1)}
+
+
+def test_merge_candidates_follows_the_ordered_rule(spark):
+    from difflib import SequenceMatcher
+
+    from emberline.operators import fuzzy
+
+    rng = random.Random(2)
+    keys = []
+    for g in range(8):
+        base = "".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(10, 40)))
+        for _ in range(rng.randrange(1, 5)):
+            k = rng.randrange(len(base))
+            keys.append(base[:k] + rng.choice(["", "x", "yy"]) + base[k + 1 :])
+    rng.shuffle(keys)
+    kept, want = [], {}
+    for i, key in enumerate(keys):
+        match = next((j for j in kept if SequenceMatcher(None, key, keys[j]).ratio() > 0.86), None)
+        want[i] = match
+        if match is None:
+            kept.append(i)
+    items = spark.createDataFrame([(i, k, [f"s{i}"]) for i, k in enumerate(keys)], "id long, key string, source_ids array<string>")
+    got = {r["id"]: r for r in fuzzy.merge_candidates(items, 100).collect()}
+    assert {i: r["merged_into"] for i, r in got.items()} == want
+    leader = kept[0]
+    assert got[leader]["source_ids"] == sorted({f"s{leader}"} | {f"s{i}" for i, m in want.items() if m == leader})
+    limited = {r["id"]: r["action"] for r in fuzzy.merge_candidates(items, 3).collect()}
+    assert {i for i, a in limited.items() if a == "kept"} == set(kept[:3])
+    found = fuzzy.best_match(items.where("id < 3"), items.select("key").where("id >= 3")).collect()
+    for r in found:
+        ratio = max(SequenceMatcher(None, keys[r["id"]], k).ratio() for k in keys[3:])
+        assert r["represented"] == (ratio >= 0.68) and (r["best"] is None or r["best"] == ratio)
+    assert fuzzy.water_fill({"a": 2, "b": 50, "c": 50, "d": 0}, 20) == {"a": 2, "b": 9, "c": 9, "d": 0}
+
+
+def test_training_finds_the_signal(spark):
+    from emberline.operators import training
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(300):
+        y = int(rng.random() < 0.4)
+        rows.append((i // 3, y, rng.gauss(1.5 * y, 1), None if rng.random() < 0.1 else rng.gauss(-y, 1), 1.0))
+    df = spark.createDataFrame(rows, "g long, y int, a double, b double, constant double").repartition(2)
+    model, auc = training.calibrated(df, ["a", "b", "constant"], "y", "g", (0.3,), 2)
+    assert "constant" not in model.features and auc[0.3] > 0.8 and model.coef[0] > 0 > model.coef[1]
+    scored = scoring.score(df, model)
+    assert evaluation.rank_metrics(scored, F.col("y"), F.round("probability", 6)).first()["roc_auc"] > 0.8
+    assert training.leaked_groups(training.folds(df, "g"), "g", "fold").count() == 0
+    d = training.bootstrap_auc_difference(df.select("y", "a", (-F.col("b")).alias("b")).na.fill(0.0), "y", "a", "b", 30).first()
+    assert d["low"] <= d["mean"] <= d["high"]
+
+
+def test_report_values(spark):
+    from emberline.functions import report
+
+    shown = {n: one(spark, report.display_value(n, F.lit(v))) for n, v in {"papers_log_3y": 2.397895, "press_release_share_12m": 0.25, "mass_market_flag": 1.0, "paper_growth_2y": 0.5}.items()}
+    assert shown == {"papers_log_3y": "10", "press_release_share_12m": "25%", "mass_market_flag": "yes", "paper_growth_2y": "0.5"}
+    assert one(spark, report.field(F.create_map(F.lit("Award_Amount"), F.lit(5)), "award amount")) == 5
+    best = report.best_sentence(F.array(F.lit("none"), F.lit("graphene battery for drones"), F.lit("graphene")), F.array(F.lit("graphene")), F.array(F.lit("drones")))
+    assert one(spark, best) == "graphene battery for drones"
+    assert one(spark, report.rescaled(F.lit(0.5), report.metric_scale([F.lit(0.5), F.lit(0.9)]))) == 50.0
