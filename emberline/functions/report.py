@@ -32,7 +32,7 @@ def rescaled(metric: Column, scale: Column) -> Column:
 
 
 # The weights of a hypothesis; risk counts against it.
-HYPOTHESIS = {"novelty": 0.25, "impact": 0.3, "feasibility": 0.25, "risk": 0.2}
+HYPOTHESIS = {"novelty": 0.25, "feasibility": 0.25, "impact": 0.35, "risk": 0.15}
 
 
 def hypothesis_score(values: dict[str, Column]) -> Column:

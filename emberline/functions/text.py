@@ -180,19 +180,18 @@ def strip_html(html: Column) -> Column:
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 
-# Development stages by precedence, and the words that tell them.
+# Development stages by precedence, and the words that tell them; anything else is research.
 STAGES = (
-    ("mature", r"mass market|commodity|widely adopted|mature"),
-    ("adoption", r"adopt|commercial|customer|deployment"),
-    ("pilot", r"pilot|field trial|demonstration"),
-    ("poc", r"prototype|proof of concept|proof-of-concept"),
-    ("research", r"research|study|paper"),
+    ("mature", r"mass production|commercially available|large[- ]scale deployment|industry standard"),
+    ("adoption", r"real[- ]world|field demonstrat|deployed|deployment|first-in-human"),
+    ("pilot", r"\bpilot\b|field trial|clinical trial"),
+    ("poc", r"prototype|proof[- ]of[- ]concept|experimental demonstrat"),
 )
 
 
 def stage_of(text: Column) -> Column:
     low = F.lower(text)
-    return reduce(lambda e, s: e.when(low.rlike(s[1]), s[0]), STAGES[1:], F.when(low.rlike(STAGES[0][1]), STAGES[0][0])).otherwise("unknown")
+    return reduce(lambda e, s: e.when(low.rlike(s[1]), s[0]), STAGES[1:], F.when(low.rlike(STAGES[0][1]), STAGES[0][0])).otherwise("research")
 
 
 def sentences(text: Column) -> Column:

@@ -168,13 +168,14 @@ def text_densities(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(r"""WITH t AS (SELECT event_id, event_type || ': ' || (CASE event_id % 6 WHEN 0 THEN 'a field trial of it' WHEN 1 THEN 'Customers adopt it' WHEN 2 THEN 'now a commodity, says a paper' WHEN 3 THEN 'a prototype study' WHEN 4 THEN 'research only' ELSE 'none of these' END) AS s FROM events)
-SELECT event_id, CASE WHEN regexp_matches(lower(s), 'mass market|commodity|widely adopted|mature') THEN 'mature' WHEN regexp_matches(lower(s), 'adopt|commercial|customer|deployment') THEN 'adoption'
- WHEN regexp_matches(lower(s), 'pilot|field trial|demonstration') THEN 'pilot' WHEN regexp_matches(lower(s), 'prototype|proof of concept|proof-of-concept') THEN 'poc'
- WHEN regexp_matches(lower(s), 'research|study|paper') THEN 'research' ELSE 'unknown' END AS stage FROM t""")
+SAID = ("a field trial of it", "Deployed in the real world", "now an industry standard, says a paper", "a prototype study", "research only", "first clinical trial of a proof-of-concept")
+
+
+@query(r"""WITH t AS (SELECT event_id, event_type || ': ' || [%s][1 + event_id %% 6] AS s FROM events)
+SELECT event_id, CASE WHEN regexp_matches(lower(s), 'mass production|commercially available|large[- ]scale deployment|industry standard') THEN 'mature' WHEN regexp_matches(lower(s), 'real[- ]world|field demonstrat|deployed|deployment|first-in-human') THEN 'adoption'
+ WHEN regexp_matches(lower(s), '\bpilot\b|field trial|clinical trial') THEN 'pilot' WHEN regexp_matches(lower(s), 'prototype|proof[- ]of[- ]concept|experimental demonstrat') THEN 'poc' ELSE 'research' END AS stage FROM t""" % text.quoted(SAID))
 def stage_from_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("event_id") % 6
-    said = F.when(k == 0, "a field trial of it").when(k == 1, "Customers adopt it").when(k == 2, "now a commodity, says a paper").when(k == 3, "a prototype study").when(k == 4, "research only").otherwise("none of these")
+    said = F.element_at(text.strings(*SAID), (F.col("event_id") % 6 + 1).cast("int"))
     return table(spark, sf_dir, "events").select("event_id", text.stage_of(F.concat(F.col("event_type"), F.lit(": "), said)).alias("stage"))
 
 
