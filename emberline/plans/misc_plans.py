@@ -21,10 +21,10 @@ def display_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", report.display_value("papers_log_3y", logged).alias("as_count"), report.display_value("press_release_share_12m", c("l_discount")).alias("as_share"), report.display_value("mass_market_flag", c("l_tax")).alias("as_flag"))
 
 
-@query("""SELECT p_partkey, round((0.25::DOUBLE * (p_size * 2) + 0.35::DOUBLE * (p_partkey % 101) + 0.25::DOUBLE * 50 + 0.15::DOUBLE * (100 - p_partkey % 90)), 1) AS score,
+@query("""SELECT p_partkey, round((0.25::DOUBLE * (p_size * 2) + 0.35::DOUBLE * (p_partkey % 101 + 0.2::DOUBLE) + 0.25::DOUBLE * 50 + 0.15::DOUBLE * (100 - p_partkey % 90)), 1) AS score,
  greatest(0.0::DOUBLE, least(100.0::DOUBLE, (p_size % 12)::DOUBLE * CASE WHEN greatest(p_size % 12, 1) <= 1 THEN 100 WHEN greatest(p_size % 12, 1) <= 10 THEN 10 ELSE 1 END)) AS metric FROM part""")
 def hypothesis_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    values = {"novelty": c("p_size") * 2, "impact": c("p_partkey") % 101, "feasibility": F.lit(50), "risk": c("p_partkey") % 90}
+    values = {"novelty": c("p_size") * 2, "impact": c("p_partkey") % 101 + F.lit(0.2), "feasibility": F.lit(50), "risk": c("p_partkey") % 90}
     m = (c("p_size") % 12).cast("double")
     return table(spark, sf_dir, "part").select("p_partkey", report.hypothesis_score(values).alias("score"), report.rescaled(m, report.metric_scale([m, F.lit(1.0)])).alias("metric"))
 
