@@ -14,7 +14,7 @@ window of as many words as the item has (or the whole document, if shorter) has
    equal block only. Distances are completed, then the weighted similarity is worked out from the shingles.
 
 Seeds are broadcast in blocks of items with at most seeds_per_block seeds each, index rows likewise, so what
-is broadcast has a fixed bound; a larger benchmark takes more blocks. Documents with a seed are broadcast
+is broadcast has a fixed bound (some 30 MB); a larger benchmark takes more blocks. Documents with a seed are broadcast
 back to their texts where they are few (at most few_docs), and joined by a shuffle otherwise.
 
 Null texts count as empty, items without words match nothing, rows without doc_id or item_id are left out,
@@ -87,7 +87,7 @@ def _keys(fp: Column, radius: int) -> Column:
     return F.array(*[F.shiftrightunsigned(fp, at).bitwiseAND(long((1 << width) - 1)) for at, width in _blocks(radius)])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 19, seeds_per_block: int = 1 << 18, few_docs: int = 1 << 16) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 19, seeds_per_block: int = 1 << 17, few_docs: int = 1 << 16) -> DataFrame:
     """doc_id, item_id, similarity (the best window's), window_start (its first word), n_words (of the item)."""
     spark = docs.sparkSession
     words = normal_words(F.coalesce(F.col("text"), F.lit("")))
@@ -127,15 +127,24 @@ def _scan(docs: DataFrame, own: DataFrame, width: int, similarity: float, radius
     starts = hits.select("doc_id", "n_words", F.least(F.greatest("start", F.lit(0)), last).alias("start")).distinct()
     asked, _ = materialize(starts.groupBy("doc_id").agg(F.collect_list(F.struct("n_words", "start")).alias("windows")), "windows")
     few = asked.count() <= few_docs
-    held = texts.groupBy("doc_id").agg(F.max("shingles").alias("shingles")) if not few else texts
-    cut = F.transform(F.col("windows"), lambda w: F.struct(w["n_words"].alias("n_words"), w["start"].alias("start"), F.slice(F.col("shingles"), w["start"] + 1, w["n_words"] - width + 1).alias("window")))
-    windows = held.join(F.broadcast(asked) if few else asked, "doc_id").select("doc_id", F.explode(cut).alias("w")).select("doc_id", "w.*").where(F.size("window") > 0)
+    # the join comes before the shingles: only documents that meet a seed are cut again
+
+    def cut(shingles: Column) -> Column:
+        def window(w: Column) -> Column:
+            return F.struct(w["n_words"].alias("n_words"), w["start"].alias("start"), F.slice(shingles, w["start"] + 1, w["n_words"] - width + 1).alias("window"))
+
+        return F.transform(F.col("windows"), window)
+
+    held = slim(docs).join(F.broadcast(asked) if few else asked, "doc_id")
+    cut_out = let(shingle_hashes(normal_words(F.col("text")), width), cut)
+    windows = held.select("doc_id", F.explode(cut_out).alias("w")).select("doc_id", "w.*").where(F.size("window") > 0)
     marked = windows.withColumn("fp", simhash(F.col("window")))
-    index = own.select("item_id", "n_words", "item_shingles", "item_fp", F.posexplode(_keys(F.col("item_fp"), radius)).alias("block", "key"))
+    index = own.select("item_id", "n_words", "item_fp", F.posexplode(_keys(F.col("item_fp"), radius)).alias("block", "key"))
     probes = marked.select("doc_id", "n_words", "start", "window", "fp", F.posexplode(_keys(F.col("fp"), radius)).alias("block", "key"))
     met = probes.join(F.broadcast(index), ["n_words", "block", "key"])
     first = F.array_position(F.zip_with(_keys(F.col("fp"), radius), _keys(F.col("item_fp"), radius), lambda a, b: a == b), F.lit(True)) == F.col("block") + 1
     near = met.where((F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius) & first)
+    near = near.join(F.broadcast(own.select("item_id", "item_fp", "item_shingles")), ["item_id", "item_fp"])
     scored = near.select("doc_id", "item_id", "n_words", "start", weighted_similarity(F.col("item_shingles"), F.col("window")).alias("similarity"))
     return scored.where(F.col("similarity") >= similarity)
 
