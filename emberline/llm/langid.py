@@ -5,7 +5,8 @@ bucket with an embedding. A text is the mean of its subwords' embeddings; a line
 languages. Both layers are trained by stochastic gradient descent in numpy on the driver, from a bounded
 sample (sample_rows texts of at most sample_chars characters, chosen by a hash of doc_id). A part of the
 sample is kept out of training: on it a temperature is fitted, and the confidence below which a text is
-rejected, so that accepted texts reach the target precision there; it is never under 0.5.
+rejected, so that accepted texts reach the target precision there: half way from the least sure text accepted
+to the next one, and never under 0.5. Texts without a letter are rejected anyway and no part of either.
 
 Scoring folds the two layers into one table of buckets x languages x 4 bytes, which is broadcast: its size
 comes from the model, not from the documents. Whole texts are scored, in pieces, so that a long one takes no
@@ -86,12 +87,13 @@ def _bag(text: str, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def train(texts: list[str], langs: list[str], bits: int = 16, dim: int = 16, epochs: int = 5, rate: float = 8.0, held_out: float = 0.2, target: float = 0.99, seed: int = 0) -> Model:
+    bags = [(_bag(t, bits), lang) for t, lang in zip(texts, langs)]
+    bags, langs = [b for b, _ in bags if len(b[0])], [lang for b, lang in bags if len(b[0])]
     names = sorted(set(langs))
     if not names:
         return Model([], np.zeros((1 << bits, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.5)
     rng = np.random.default_rng(seed)
     y = np.array([names.index(x) for x in langs])
-    bags = [_bag(t, bits) for t in texts]
     order = rng.permutation(len(bags))
     n_cal = int(len(bags) * held_out)
     cal, fit = order[:n_cal], order[n_cal:]
@@ -101,17 +103,16 @@ def train(texts: list[str], langs: list[str], bits: int = 16, dim: int = 16, epo
     for _ in range(epochs):
         for i in rng.permutation(fit):
             ids, x = bags[i]
-            if len(ids):
-                now = rate * (1 - done / steps)
-                mean = x @ emb[ids]
-                z = mean @ w + b
-                p = np.exp(z - z.max())
-                p /= p.sum()
-                p[y[i]] -= 1
-                back = w @ p
-                w -= now * 0.1 * np.outer(mean, p)
-                b -= now * 0.01 * p
-                emb[ids] -= now * x[:, None] * back[None, :]
+            now = rate * (1 - done / steps)
+            mean = x @ emb[ids]
+            z = mean @ w + b
+            p = np.exp(z - z.max())
+            p /= p.sum()
+            p[y[i]] -= 1
+            back = w @ p
+            w -= now * 0.1 * np.outer(mean, p)
+            b -= now * 0.01 * p
+            emb[ids] -= now * x[:, None] * back[None, :]
             done += 1
     scores = emb @ w
     z = np.array([x @ scores[ids] + b for ids, x in (bags[i] for i in cal)]).reshape(n_cal, len(names))
@@ -127,8 +128,11 @@ def train(texts: list[str], langs: list[str], bits: int = 16, dim: int = 16, epo
     sure, right = p.max(1), p.argmax(1) == y[cal]
     down = np.argsort(-sure, kind="stable")
     precise = np.cumsum(right[down]) / np.arange(1, n_cal + 1) >= target
-    lowest = sure[down][np.flatnonzero(precise)[-1]] if precise.any() else 1.0
-    return Model(names, scores, b, float(temperature), max(0.5, float(lowest)) if not precise[-1] else 0.5)
+    if precise[-1]:
+        return Model(names, scores, b, float(temperature), 0.5)
+    last = np.flatnonzero(precise)[-1] if precise.any() else -1
+    lowest = (sure[down[last]] + sure[down[last + 1]]) / 2 if last >= 0 else 1.0
+    return Model(names, scores, b, float(temperature), max(0.5, float(lowest)))
 
 
 def predict(model: Model, text: str | None) -> tuple[str, float, bool]:
