@@ -7,8 +7,10 @@ window of as many words as the item has (or the whole document, if shorter) has
 
 1. Seeds. A window that similar misses at most r of the item's m shingles, so among any r + 1 of them it has
    one: the r + 1 with the smallest hashes are the item's seeds. Documents' shingles are joined to the seeds,
-   and where they meet, the windows that can be similar start at most r words from the aligned place. Windows
-   that meet no seed can't be similar, so none is lost.
+   and where they meet, every window that holds the meeting shingle is asked for, wherever the item has it:
+   similarity is over bags, so a window may hold the item's parts in another order. A window without any of
+   the seeds' hashes misses all r + 1 and can't be similar, so none is lost. What a document is asked for is
+   merged before windows are cut.
 2. Each such window gets a 64-bit SimHash of its shingles and meets the items of its size in an index of
    radius + 1 blocks: fingerprints within `radius` bits agree in at least one block. A pair counts at its first
    equal block only. Distances are completed, then the weighted similarity is worked out from the shingles.
@@ -118,14 +120,23 @@ def _contaminated(docs: DataFrame, items: DataFrame, width: int, similarity: flo
 
 
 def _scan(docs: DataFrame, own: DataFrame, width: int, similarity: float, radius: int, few_docs: int) -> DataFrame:
-    places = F.array_sort(F.transform(F.col("item_shingles"), lambda h, i: F.struct(h.alias("h"), i.alias("at"))))
-    seeds = own.select("n_words", "miss", F.explode(F.slice(places, 1, F.col("miss") + 1)).alias("seed")).select("n_words", "miss", "seed.h", "seed.at").distinct()
+    ordered = F.slice(F.array_sort("item_shingles"), 1, F.col("miss") + 1)
+    seeds = own.select("n_words", F.explode(ordered).alias("h")).distinct()
     texts = slim(docs).select("doc_id", shingle_hashes(normal_words(F.col("text")), width).alias("shingles"))
     rows = texts.select("doc_id", F.size("shingles").alias("n"), F.posexplode("shingles").alias("pos", "h"))
-    hits = rows.join(F.broadcast(seeds), "h").select("doc_id", "n", "n_words", F.explode(F.sequence(F.col("pos") - F.col("at") - F.col("miss"), F.col("pos") - F.col("at") + F.col("miss"))).alias("start"))
-    last = F.greatest(F.col("n") + width - 1 - F.col("n_words"), F.lit(0))  # of a window of n_words words
-    starts = hits.select("doc_id", "n_words", F.least(F.greatest("start", F.lit(0)), last).alias("start")).distinct()
-    asked, _ = materialize(starts.groupBy("doc_id").agg(F.collect_list(F.struct("n_words", "start")).alias("windows")), "windows")
+    last = F.greatest(F.col("n") + width - 1 - F.col("n_words"), F.lit(0))  # start of the last window of n_words words
+    hits = rows.join(F.broadcast(seeds), "h").select(
+        "doc_id", F.struct("n_words", F.greatest(F.col("pos") - F.col("n_words") + width, F.lit(0)).alias("low"), F.least(F.col("pos"), last).alias("high")).alias("hit")
+    )
+
+    def starts(hit: Column) -> Column:
+        return F.transform(F.sequence(hit["low"], hit["high"]), lambda i: F.call_function("shiftleft", long(hit["n_words"]), F.lit(32)) + i)
+
+    def asked_for(x: Column) -> Column:  # as longs, which array_distinct hashes
+        return F.struct(F.shiftright(x, 32).cast("int").alias("n_words"), x.bitwiseAND(long((1 << 32) - 1)).cast("int").alias("start"))
+
+    merged = F.array_distinct(F.flatten(F.transform("hits", starts)))
+    asked, _ = materialize(hits.groupBy("doc_id").agg(F.collect_set("hit").alias("hits")).select("doc_id", F.transform(merged, asked_for).alias("windows")), "windows")
     few = asked.count() <= few_docs
     # the join comes before the shingles: only documents that meet a seed are cut again
 

@@ -104,3 +104,27 @@ def test_empty_tables_and_filter(spark):
     kept = decontam.drop_contaminated(df, bench)
     bad = {i for i, _ in brute(docs, [x for x in items if x[0] is not None])}
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {i for i, _ in docs} - bad
+
+
+def test_parts_in_another_order_against_brute_force(spark):
+    rng = random.Random(8)
+    word = lambda k: [f"u{rng.randrange(10**6)}" for _ in range(k)]
+    items, docs = [], []
+    for k, n in enumerate([64, 48, 80, 56]):
+        own = word(n)
+        items.append((k, " ".join(own)))
+        turned = n // 3
+        docs.append((10 * k, " ".join(word(50) + own[n // 2 :] + own[: n // 2] + word(70))))  # halves swapped
+        docs.append((10 * k + 1, " ".join(word(30) + own[turned:] + own[:turned] + word(20))))  # turned round
+        docs.append((10 * k + 2, " ".join(own[n - turned :] + own[: n - turned])))  # the whole document
+    said = word(7)
+    items.append((90, " ".join(said + word(30) + said)))  # repeated shingles
+    own = words(items[-1][1])
+    docs.append((91, " ".join(word(40) + ["other"] * 3 + own[3:] + word(40))))
+    docs.append((92, " ".join(word(200) + own[7:] + word(40))))
+    df = spark.createDataFrame([(i, t, 7, "clash") for i, t in docs], DOCS).repartition(3)
+    bench = spark.createDataFrame([(j, b, "clash") for j, b in items], ITEMS)
+    want = brute(docs, items)
+    got = {(r["doc_id"], r["item_id"]): (round(r["similarity"], 9), r["window_start"]) for r in decontam.contaminated(df, bench).collect()}
+    assert got == want and {(10 * k, k) for k in range(4)} | {(10 * k + 1, k) for k in range(4)} <= set(want)
+    assert {r["doc_id"] for r in decontam.drop_contaminated(df, bench).collect()} == {i for i, _ in docs} - {i for i, _ in want}
