@@ -39,9 +39,11 @@ def first_survivors(items: DataFrame, pairs: DataFrame) -> DataFrame:
     return items.select("id").join(settled, "id", "left")
 
 
-def stride_shingles(text: Column, words: int = 5, stride: int = 3, most: int = 5000) -> Column:
-    """Distinct hashes of runs of words at every third place, over the first 5000 words as the rule has it."""
-    own = F.slice(F.split(normalized_text(text), " ", -1), 1, most)
+def stride_shingles(text: Column, words: int = 5, stride: int = 3, most: int | None = None) -> tuple[Column, Column]:
+    """The words, and distinct hashes of runs of words at every third place, over the whole text or its first `most` words (the reference's rule: 5000)."""
+    own = F.split(normalized_text(text), " ", -1)
+    if most is not None:
+        own = F.slice(own, 1, most)
     starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size("__w") - words, F.lit(0)), F.lit(stride)), lambda i: i + words <= F.size("__w"))
     return own, F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice("__w", i + 1, words), " "))))
 

@@ -268,3 +268,13 @@ def test_report_values(spark):
     best = report.best_sentence(F.array(F.lit("none"), F.lit("graphene battery for drones"), F.lit("graphene")), F.array(F.lit("graphene")), F.array(F.lit("drones")))
     assert one(spark, best) == "graphene battery for drones"
     assert one(spark, report.rescaled(F.lit(0.5), report.metric_scale([F.lit(0.5), F.lit(0.9)]))) == 50.0
+
+
+def test_near_duplicates_look_at_whole_texts(spark):
+    words = lambda tag, n: " ".join(f"{tag}{k}" for k in range(n))
+    opening, body = words("o", 5100), words("b", 12000)
+    rows = [(1, opening + " " + words("x", 6000)), (2, opening + " " + words("y", 6000)), (3, words("p", 5010) + " " + body), (4, words("q", 2001) + " " + body)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["id"]: r["duplicate_of"] for r in dedup.near_duplicates(docs, "doc_id", "text").collect()}
+    assert got == {1: None, 2: None, 3: None, 4: 3}
+    assert [(r["later"], r["earlier"]) for r in dedup.overlap_pairs(dedup.shingled(docs, "doc_id", "text")).collect()] == [(4, 3)]
