@@ -19,8 +19,8 @@ into blocks, and every two blocks of the row are compared in a task of their own
 one task and nothing is dropped. Equal fingerprints are one node from the start, named by their smallest doc_id.
 Links stay in Spark; components come from large-star and small-star rounds.
 
-The pipeline's near_dedup (keep_one_of_each) doesn't use fingerprints: it finds all pairs at a Jaccard similarity of their
-shingle sets, see similar_components().
+The pipeline's near_dedup needs links at a Jaccard similarity of 0.8, beyond what 64-bit fingerprints guarantee: neardup.py
+takes the links found here as candidates and completes them.
 
 Null text counts as empty, rows without doc_id are left out, repeated rows repeat in the result, an empty
 table gives an empty result.
@@ -28,16 +28,15 @@ table gives an empty result.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import runs, slim, without_ids
+from emberline.llm.common import runs, slim
 from emberline.operators.components import connected_components
 from emberline.session import materialize
 
@@ -130,7 +129,7 @@ ROWS = "key long, part long, node long, fp long, fp2 long"
 LINKS = "a long, b long"
 
 
-def _whole_runs(batches: Iterator[pa.RecordBatch], solve) -> Iterator[pa.RecordBatch]:
+def whole_runs(batches: Iterator[pa.RecordBatch], solve) -> Iterator[pa.RecordBatch]:
     """solve(rows) over tables of whole runs of (key, part), whatever the batches."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
@@ -164,7 +163,7 @@ def _links(radius: int, radius2: int):
                 ab = np.unique(ab, axis=0)
                 yield pa.record_batch([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
 
-        yield from _whole_runs(batches, solve)
+        yield from whole_runs(batches, solve)
 
     return f
 
@@ -204,163 +203,3 @@ def near_duplicate_components(
 def simhash_digest(docs: DataFrame) -> DataFrame:
     """The contract's rows: doc_id, fingerprint, component_id."""
     return near_duplicate_components(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def shingle_sets(docs: DataFrame, common: dict[int, int], words: int, similarity: float) -> DataFrame:
-    """doc_id, d1, d2 (a digest of the set of shingles), n (its size) and keys: the set's first hashes in one order of all shingles.
-
-    Of n shingles the first n - ceil(similarity * n) + 1 are keys: two sets at this Jaccard similarity share one of them, whatever
-    the order. Here shingles that `common` counts more often come later, which keeps what meets at a key small; ties go by hash.
-    """
-    seen = np.array(sorted(common), np.uint64)
-    level = np.array([min(15, common[h].bit_length()) for h in seen.tolist()], np.uint64)
-
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            first, second, sizes, keys = [], [], [], []
-            for text in batch["text"]:
-                own = hashes_of(text.as_buffer().to_pybytes(), words)
-                raw, rank = own.tobytes(), np.zeros(len(own), np.uint64)
-                if len(seen):
-                    at = np.minimum(np.searchsorted(seen, own), len(seen) - 1)
-                    rank = np.where(seen[at] == own, level[at], np.uint64(0))
-                first.append(xxhash.xxh64_intdigest(raw, 1))
-                second.append(xxhash.xxh64_intdigest(raw, 2))
-                sizes.append(len(own))
-                keys.append(np.sort(rank << np.uint64(60) | own >> np.uint64(4))[: prefix_size(len(own), similarity)].view(np.int64))
-            as_long = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
-            lists = pa.array(keys, pa.list_(pa.int64()))
-            yield pa.record_batch([batch["doc_id"], as_long(first), as_long(second), pa.array(sizes, pa.int32()), lists], names=["doc_id", "d1", "d2", "n", "keys"])
-
-    return slim(docs).mapInArrow(f, "doc_id long, d1 long, d2 long, n int, keys array<long>")
-
-
-def hashes_of(text: bytes, words: int) -> np.ndarray:
-    """Distinct shingle hashes, sorted; a text without words has one, so that such texts are equal to each other."""
-    return np.unique(np.array([xxhash.xxh64_intdigest(x, 42) for x in shingles(text, words) or [b""]], np.uint64))
-
-
-def prefix_size(n: int, similarity: float) -> int:
-    return n - math.ceil(n * similarity - 1e-9) + 1
-
-
-def common_shingles(docs: DataFrame, words: int, sample: int = 10_000, least: int = 3) -> dict[int, int]:
-    """Hash and count of shingles in at least `least` of about `sample` documents. It sets an order and no more: results don't depend on it."""
-    own = slim(docs)
-    share = min(1.0, sample / max(1, own.count()))
-
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch["text"]:
-                yield pa.record_batch([pa.array(hashes_of(text.as_buffer().to_pybytes(), words).view(np.int64))], names=["h"])
-
-    few = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 31)) < int((1 << 31) * share))
-    counts = few.mapInArrow(f, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).toArrow()
-    return dict(zip(counts["h"].to_numpy().view(np.uint64).tolist(), counts["n"].to_pylist(), strict=True))
-
-
-def _met(similarity: float, star: bool):
-    """Over a partition sorted by (key, part): pairs of each run whose sizes and places allow the similarity; star: with the first member alone."""
-
-    def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, part, node = rows["key"].to_numpy(), rows["part"].to_numpy(), rows["node"].to_numpy()
-        n, rest, group = rows["n"].to_numpy(), rows["rest"].to_numpy(), rows["component"].to_numpy()
-        at, a, b, held = runs(key, part), [], [], 0
-        for k in np.flatnonzero(np.diff(at) > 1):
-            for i in range(at[k], at[k] + 1 if star else at[k + 1] - 1):
-                s = slice(i + 1, at[k + 1])
-                most = np.minimum(rest[s], rest[i])  # the shared shingles, if this key is the first of them
-                hit = (most * (1 + similarity) >= (n[s] + n[i]) * similarity - 1e-6) & (group[s] != group[i])
-                if hit.any():
-                    a.append(np.full(hit.sum(), node[i]))
-                    b.append(node[s][hit])
-                    held += len(b[-1])
-                if held > 1 << 16:
-                    yield _unique_pairs(a, b)
-                    a, b, held = [], [], 0
-        if a:
-            yield _unique_pairs(a, b)
-
-    return lambda batches: _whole_runs(batches, solve)
-
-
-def _unique_pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
-    ab = np.sort(np.stack([np.concatenate(a), np.concatenate(b)], 1), axis=1)
-    ab = np.unique(ab[ab[:, 0] != ab[:, 1]], axis=0)
-    return pa.record_batch([pa.array(ab[:, 0]), pa.array(ab[:, 1])], names=["a", "b"])
-
-
-def similar_pairs(docs: DataFrame, pairs: DataFrame, words: int, similarity: float, few: int = 1 << 17) -> DataFrame:
-    """Of pairs (a, b) of doc_ids those whose texts have this Jaccard similarity of their sets of shingles. Up to `few` pairs are broadcast to the texts."""
-    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("doc_id"))
-    texts = slim(docs).join(F.broadcast(sides) if pairs.count() <= few else sides, "doc_id")
-    # the two texts of a pair meet by the pair, so that a document in many pairs doesn't gather them in a task
-    dealt = texts.select("a", "b", "doc_id", "text").repartition("a", "b").sortWithinPartitions("a", "b", "doc_id")
-
-    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def alike(pair: tuple[int, int], left: set[bytes], right: set[bytes]) -> bool:
-            for x in left:
-                own = set(shingles(x, words))
-                for y in right:
-                    other = set(shingles(y, words))
-                    both = len(own & other)
-                    if both >= similarity * (len(own) + len(other) - both) - 1e-9:
-                        return True
-            return False
-
-        now, left, right = None, set(), set()
-        for batch in batches:
-            found = []
-            for a, b, doc_id, text in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), batch["doc_id"].to_pylist(), batch["text"], strict=True):
-                if (a, b) != now:
-                    if now and alike(now, left, right):
-                        found.append(now)
-                    now, left, right = (a, b), set(), set()
-                (left if doc_id == a else right).add(text.as_buffer().to_pybytes())
-            yield pa.record_batch([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
-        if now and alike(now, left, right):
-            yield pa.record_batch([pa.array([now[0]], pa.int64()), pa.array([now[1]], pa.int64())], names=["a", "b"])
-
-    return dealt.mapInArrow(f, LINKS)
-
-
-def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, limit: int = 1 << 15) -> DataFrame:
-    """doc_id, component_id (the smallest doc_id reachable) by links of exactly this Jaccard similarity of shingle sets, or more.
-
-    Sets meet in the keys of shingle_sets(), of which two similar sets share one, so no link is lost. First each key's
-    members are compared with one of them; most of a group of near copies is one component then, and only pairs of
-    different components are compared after that.
-    """
-    marks, _ = materialize(shingle_sets(docs, common_shingles(docs, words), words, similarity), "shingle-sets")
-    nodes, _ = materialize(marks.groupBy("d1", "d2").agg(F.min("doc_id").alias("node")), "set-nodes")
-    reps = marks.join(nodes, ["d1", "d2"]).where("doc_id = node").dropDuplicates(["node", "d1", "d2"])
-    places = reps.select("node", "n", F.posexplode("keys").alias("pos", "key")).select("key", "node", "n", (F.col("n") - F.col("pos")).alias("rest"))
-    beside = Window.partitionBy("key").orderBy("node")
-    shared = places.withColumn("met", F.lag("node").over(beside).isNotNull() | F.lead("node").over(beside).isNotNull()).where("met").drop("met")
-    rows, _ = materialize(shared, "shared-keys")
-
-    def met(rows: DataFrame, star: bool) -> DataFrame:
-        dealt = deal(rows, limit, "node", "n", "rest", "component").repartition("key", "part").sortWithinPartitions("key", "part", "node")
-        return dealt.mapInArrow(_met(similarity, star), LINKS).distinct()
-
-    tried, _ = materialize(met(rows.withColumn("component", F.col("node")), True), "pairs")
-    sure, _ = materialize(similar_pairs(docs, tried, words, similarity), "links")
-    # documents of one id with several texts are one node
-    known = connected_components(sure).withColumnRenamed("node", "__node")
-    apart = rows.join(known, F.col("node") == F.col("__node"), "left").select("key", "node", "n", "rest", F.coalesce("component", "node").alias("component"))
-    more, _ = materialize(met(apart, False).join(tried, ["a", "b"], "left_anti"), "pairs")
-    links_, _ = materialize(sure.unionByName(similar_pairs(docs, more, words, similarity)), "links")
-    same = marks.select("doc_id", "d1", "d2").join(nodes, ["d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).where("a <> b")
-    found = connected_components(links_.unionByName(same)).withColumnRenamed("node", "__node")
-    ids = marks.select("doc_id").distinct()
-    return ids.join(found, F.col("doc_id") == F.col("__node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("component_id"))
-
-
-def keep_one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Documents without near copies of an earlier one: of each component the smallest doc_id stays, with all its columns.
-
-    Near copies share 0.8 or more of their five-word shingles, as sets. Every such pair is found and every link is one.
-    Rows without doc_id stay; repeated rows of a doc_id are one document and stay or go together.
-    """
-    found = similar_components(docs, words, similarity)
-    return without_ids(docs, found.where("doc_id <> component_id").select("doc_id"))

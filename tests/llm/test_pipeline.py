@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline as pipeline
-from emberline.llm import simhash
+from emberline.llm import neardup
 from tests.llm.test_decontam import brute as brute_leaks
 from tests.llm.test_lines import brute as brute_lines
 from tests.llm.test_packing import check
@@ -32,9 +32,9 @@ def corpus(seed=3):
 
 
 def close(a, b):
-    from tests.llm.test_simhash import plain_fingerprint
+    from tests.llm.test_neardup import at_least, shingle_set
 
-    return (plain_fingerprint(a, 3) ^ plain_fingerprint(b, 3)).bit_count() <= 11 and (plain_fingerprint(a, 5) ^ plain_fingerprint(b, 5)).bit_count() <= 14
+    return at_least(shingle_set(a), shingle_set(b))
 
 
 def test_each_stage_against_brute_force(spark, tmp_path):
@@ -78,4 +78,4 @@ def test_empty_documents(spark, tmp_path):
 
 def test_filters_keep_rows_without_id(spark):
     docs = spark.createDataFrame([(None, "lorka temri", "aa", "s", 1), (1, "lorka temri", "aa", "s", 1), (2, "lorka temri", "aa", "s", 1)], SCHEMA)
-    assert sorted((r["doc_id"] or -1) for r in simhash.keep_one_of_each(docs).collect()) == [-1, 1]
+    assert sorted((r["doc_id"] or -1) for r in neardup.keep_one_of_each(docs).collect()) == [-1, 1]
