@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from emberline.functions.columns import let
+
 # Words that widen a phrase without narrowing it, and the word lists of the density features.
 GENERIC = (
     "the", "and", "for", "with", "from", "into", "based", "using", "via", "of", "in", "on", "to", "a", "an",
@@ -28,11 +30,6 @@ TOKEN = r"[a-z0-9а-яё][a-z0-9а-яё+\-]*"
 CYRILLIC = r"[\x{0400}-\x{04ff}]"
 
 
-def let(value: Column, body) -> Column:
-    """body(value), with value worked out once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def strings(*values: str) -> Column:
     return F.array(*map(F.lit, values))
 
