@@ -6,16 +6,21 @@ window of as many words as the item has (or the whole document, if shorter) has
 (sum of smaller weights over sum of larger ones) of at least `similarity`.
 
 1. Seeds. A window that similar misses at most r of the item's m shingles, so among any r + 1 of them it has
-   one: the r + 1 with the smallest hashes are the item's seeds. Documents' shingles are joined to the seeds,
-   and where they meet, every window that holds the meeting shingle is asked for, wherever the item has it:
-   similarity is over bags, so a window may hold the item's parts in another order. A window without any of
+   one. The r + 1 that fewest items share (ties by hash) are the item's seeds. Documents' shingles are joined to the
+   seeds, and where they meet, every window of the item's size that holds the meeting shingle is asked for, wherever the
+   item has it: similarity is over bags, so a window may hold the item's parts in another order. A window without any of
    the seeds' hashes misses all r + 1 and can't be similar, so none is lost. What a document is asked for is
-   merged before windows are cut.
-2. Each such window gets a 64-bit SimHash of its shingles and meets the items of its size in an index of
-   radius + 1 blocks: fingerprints within `radius` bits agree in at least one block. A pair counts at its first
-   equal block only. Distances are completed, then the weighted similarity is worked out from the shingles.
+   merged, item by item, before windows are cut. It is the seeds that keep work small: a window meets only items of
+   which it holds a seed.
+2. Each such window gets a 64-bit SimHash of its shingles and meets its items in an index of radius + 1 blocks:
+   fingerprints within `radius` bits agree in at least one block. A pair counts at its first equal block only.
+   Distances are completed, then the weighted similarity is worked out from the shingles. At 0.8 fingerprints differ by
+   up to 19 of 64 bits, so blocks are three or four bits wide and alone would tell few items apart.
 
-Seeds are broadcast in blocks of items with at most seeds_per_block seeds each, index rows likewise, so what
+Items of any length: counters of fingerprints widen beyond 65,535 shingles, windows are cut one by one from the part of
+the document that is asked for, and the similarity takes time in proportion to a window.
+
+Seeds are broadcast in blocks of items with about seeds_per_block seeds each, index rows likewise, so what
 is broadcast has a fixed bound (some 30 MB); a larger benchmark takes more blocks. Documents with a seed are broadcast
 back to their texts where they are few (at most few_docs), and joined by a shuffle otherwise.
 
@@ -30,8 +35,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberline.functions.columns import let
 from emberline.llm.common import slim, without_ids
-from emberline.llm.fingerprints import let, long, shingle_hashes
+from emberline.llm.fingerprints import long, shingle_hashes
 from emberline.session import materialize
 
 WORDS = 5
@@ -41,36 +47,58 @@ def normal_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
 
 
-def simhash(hashes: Column) -> Column:
-    """Bit 1 where over half of the hashes have it. Counters of 16 bits, four to a long: for up to 65535 shingles."""
-    lanes = long(0x0001000100010001)
+def _simhash(hashes: Column, width: int) -> Column:
+    """With counters of `width` bits, as many to a long as fit."""
+    lanes, full = 64 // width, (1 << width) - 1
 
     def lane_sum(k: int) -> Column:
         def add(n: Column, h: Column) -> Column:
-            return n + F.shiftrightunsigned(h, k).bitwiseAND(lanes)
+            return n + F.shiftrightunsigned(h, k).bitwiseAND(long(sum(1 << width * lane for lane in range(lanes))))
 
         return F.aggregate(hashes, long(0), add)
 
     def bits(counts: Column) -> Column:
         out = long(0)
-        for k in range(16):
-            for lane in range(4):
-                one = F.shiftrightunsigned(F.get(counts, F.lit(k)), 16 * lane).bitwiseAND(long(0xFFFF)) * 2 > F.size(hashes)
-                bit = 16 * lane + k
+        for k in range(width):
+            for lane in range(lanes):
+                one = F.shiftrightunsigned(F.get(counts, F.lit(k)), width * lane).bitwiseAND(long(full)) * 2 > F.size(hashes)
+                bit = width * lane + k
                 out = out.bitwiseOR(F.when(one, long((1 << bit) - (1 << 64) if bit == 63 else 1 << bit)).otherwise(long(0)))
         return out
 
-    return let(F.array(*[lane_sum(k) for k in range(16)]), bits)
+    return let(F.array(*[lane_sum(k) for k in range(width)]), bits)
+
+
+def simhash(hashes: Column, narrow: int = (1 << 16) - 1) -> Column:
+    """Bit 1 where over half of the hashes have it. Counters of 16 bits hold up to `narrow` hashes, those of 32 bits any array."""
+    return F.when(F.size(hashes) <= narrow, _simhash(hashes, 16)).otherwise(_simhash(hashes, 32))
 
 
 def weighted_similarity(a: Column, b: Column) -> Column:
-    """Of two arrays of shingles as bags: shared occurrences over all."""
+    """Of two arrays of shingles as bags: shared occurrences over all.
+
+    A hash that both hold k times at least counts k times: once for every round in which, after one of each hash has been taken
+    out of both sorted arrays, both still have it. Most bags repeat nothing and are done in one round.
+    """
+
+    def repeats(x: Column) -> Column:
+        return F.filter(x, lambda v, i: (i > 0) & (v == F.get(x, i - 1)))
 
-    def count(x: Column, v: Column) -> Column:
-        return F.size(F.filter(x, lambda y: y == v))
+    def shared(s: Column) -> Column:
+        def add(state: Column, _: Column) -> Column:
+            done = (F.size(state["x"]) == 0) | (F.size(state["y"]) == 0)
+            return F.struct(
+                F.when(done, state["x"]).otherwise(repeats(state["x"])).alias("x"),
+                F.when(done, state["y"]).otherwise(repeats(state["y"])).alias("y"),
+                (state["n"] + F.when(done, F.lit(0)).otherwise(F.size(F.array_intersect(state["x"], state["y"])))).alias("n"),
+            )
 
-    both = F.aggregate(F.array_distinct(a), F.lit(0), lambda n, v: n + F.least(count(a, v), count(b, v)))
-    return both / (F.size(a) + F.size(b) - both)
+        rounds = 1 + F.least(F.size(repeats(s["x"])), F.size(repeats(s["y"])))
+        begin = F.struct(s["x"].alias("x"), s["y"].alias("y"), F.lit(0).alias("n"))
+        return F.aggregate(F.sequence(F.lit(1), rounds), begin, add, lambda state: state["n"])
+
+    both = let(F.struct(F.sort_array(a).alias("x"), F.sort_array(b).alias("y")), shared)
+    return let(both, lambda n: n / (F.size(a) + F.size(b) - n))
 
 
 def _missing(m: Column, similarity: float) -> Column:
@@ -110,52 +138,52 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
 
 def _contaminated(docs: DataFrame, items: DataFrame, width: int, similarity: float, radius: int, seeds_per_block: int, few_docs: int) -> DataFrame:
     own = items.where(F.col("width") == width).select("item_id", "n_words", shingle_hashes(F.col("words"), width).alias("item_shingles")).dropDuplicates(["item_id", "item_shingles"])
-    m = F.size("item_shingles")
-    own = own.withColumn("miss", _missing(m, similarity))
+    own = own.withColumn("item_key", F.xxhash64("item_id", "item_shingles")).withColumn("miss", _missing(F.size("item_shingles"), similarity))
     own, _ = materialize(own.withColumn("item_fp", simhash(F.col("item_shingles"))), "items")
-    n_seeds = own.agg(F.sum(F.col("miss") + 1).alias("n")).first()["n"] or 0
-    n_blocks = max(1, -(-n_seeds // seeds_per_block))
-    found = [_scan(docs, own.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == k), width, similarity, radius, few_docs) for k in range(n_blocks)]
+    places = own.select("item_key", "n_words", "miss", F.explode("item_shingles").alias("h"))
+    rare = places.groupBy("h").agg(F.count_distinct("item_key").alias("items"))
+    ordered = places.join(rare, "h").groupBy("item_key", "n_words", "miss").agg(F.array_sort(F.collect_list(F.struct("items", "h"))).alias("ordered"))
+    seeds = ordered.select("item_key", "n_words", F.explode(F.array_distinct(F.transform(F.slice("ordered", 1, F.col("miss") + 1), lambda x: x["h"]))).alias("h"))
+    seeds, _ = materialize(seeds, "seeds")
+    n_blocks = max(1, -(-seeds.count() // seeds_per_block))
+    block = F.pmod(F.xxhash64("item_key"), F.lit(n_blocks))
+    found = [_scan(docs, own.where(block == k), seeds.where(block == k), width, similarity, radius, few_docs) for k in range(n_blocks)]
     return reduce(DataFrame.unionByName, found)
 
 
-def _scan(docs: DataFrame, own: DataFrame, width: int, similarity: float, radius: int, few_docs: int) -> DataFrame:
-    ordered = F.slice(F.array_sort("item_shingles"), 1, F.col("miss") + 1)
-    seeds = own.select("n_words", F.explode(ordered).alias("h")).distinct()
-    texts = slim(docs).select("doc_id", shingle_hashes(normal_words(F.col("text")), width).alias("shingles"))
-    rows = texts.select("doc_id", F.size("shingles").alias("n"), F.posexplode("shingles").alias("pos", "h"))
-    last = F.greatest(F.col("n") + width - 1 - F.col("n_words"), F.lit(0))  # start of the last window of n_words words
-    hits = rows.join(F.broadcast(seeds), "h").select(
-        "doc_id", F.struct("n_words", F.greatest(F.col("pos") - F.col("n_words") + width, F.lit(0)).alias("low"), F.least(F.col("pos"), last).alias("high")).alias("hit")
-    )
+def _merged(hits: Column) -> Column:
+    """Ranges of starts (low, high), both of which ascend together, without what an earlier one covers."""
+
+    def rest(x: Column, i: Column) -> Column:
+        return F.struct(F.greatest(x["low"], F.when(i > 0, F.get(hits, i - 1)["high"] + 1).otherwise(F.lit(0))).alias("low"), x["high"].alias("high"))
 
-    def starts(hit: Column) -> Column:
-        return F.transform(F.sequence(hit["low"], hit["high"]), lambda i: F.call_function("shiftleft", long(hit["n_words"]), F.lit(32)) + i)
+    return F.filter(F.transform(hits, rest), lambda x: x["low"] <= x["high"])
 
-    def asked_for(x: Column) -> Column:  # as longs, which array_distinct hashes
-        return F.struct(F.shiftright(x, 32).cast("int").alias("n_words"), x.bitwiseAND(long((1 << 32) - 1)).cast("int").alias("start"))
 
-    merged = F.array_distinct(F.flatten(F.transform("hits", starts)))
-    asked, _ = materialize(hits.groupBy("doc_id").agg(F.collect_set("hit").alias("hits")).select("doc_id", F.transform(merged, asked_for).alias("windows")), "windows")
+def _scan(docs: DataFrame, own: DataFrame, seeds: DataFrame, width: int, similarity: float, radius: int, few_docs: int) -> DataFrame:
+    texts = slim(docs).select("doc_id", shingle_hashes(normal_words(F.col("text")), width).alias("shingles"))
+    rows = texts.select("doc_id", F.size("shingles").alias("n"), F.posexplode("shingles").alias("pos", "h"))
+    last = F.greatest(F.col("n") + width - 1 - F.col("n_words"), F.lit(0))  # start of the last window of n_words words
+    low = F.least(F.greatest(F.col("pos") - F.col("n_words") + width, F.lit(0)), last)
+    hits = rows.join(F.broadcast(seeds), "h").select("doc_id", "item_key", "n_words", F.struct(low.alias("low"), F.least(F.col("pos"), last).alias("high")).alias("hit"))
+    by_item = hits.groupBy("doc_id", "item_key", "n_words").agg(F.array_sort(F.collect_set("hit")).alias("hits"))
+    asked = by_item.select("doc_id", F.struct("item_key", "n_words", _merged(F.col("hits")).alias("ranges")).alias("asked")).groupBy("doc_id").agg(F.collect_list("asked").alias("asked"))
+    asked, _ = materialize(asked, "windows")
     few = asked.count() <= few_docs
     # the join comes before the shingles: only documents that meet a seed are cut again
-
-    def cut(shingles: Column) -> Column:
-        def window(w: Column) -> Column:
-            return F.struct(w["n_words"].alias("n_words"), w["start"].alias("start"), F.slice(shingles, w["start"] + 1, w["n_words"] - width + 1).alias("window"))
-
-        return F.transform(F.col("windows"), window)
-
-    held = slim(docs).join(F.broadcast(asked) if few else asked, "doc_id")
-    cut_out = let(shingle_hashes(normal_words(F.col("text")), width), cut)
-    windows = held.select("doc_id", F.explode(cut_out).alias("w")).select("doc_id", "w.*").where(F.size("window") > 0)
+    held = slim(docs).join(F.broadcast(asked) if few else asked, "doc_id").select("doc_id", "asked", shingle_hashes(normal_words(F.col("text")), width).alias("shingles"))
+    ranges = held.select("doc_id", "shingles", F.explode("asked").alias("a")).select("doc_id", "shingles", "a.item_key", "a.n_words", F.explode("a.ranges").alias("r"))
+    m = F.col("n_words") - width + 1
+    parts = ranges.select("doc_id", "item_key", "n_words", "r.low", "r.high", F.slice("shingles", F.col("r.low") + 1, F.col("r.high") - F.col("r.low") + m).alias("part"))
+    starts = parts.select("doc_id", "item_key", "n_words", "low", "part", F.explode(F.sequence("low", "high")).alias("start"))
+    windows = starts.select("doc_id", "item_key", "n_words", "start", F.slice("part", F.col("start") - F.col("low") + 1, m).alias("window")).where(F.size("window") > 0)
     marked = windows.withColumn("fp", simhash(F.col("window")))
-    index = own.select("item_id", "n_words", "item_fp", F.posexplode(_keys(F.col("item_fp"), radius)).alias("block", "key"))
-    probes = marked.select("doc_id", "n_words", "start", "window", "fp", F.posexplode(_keys(F.col("fp"), radius)).alias("block", "key"))
-    met = probes.join(F.broadcast(index), ["n_words", "block", "key"])
+    index = own.select("item_key", "item_fp", F.posexplode(_keys(F.col("item_fp"), radius)).alias("block", "key"))
+    probes = marked.select("doc_id", "item_key", "n_words", "start", "window", "fp", F.posexplode(_keys(F.col("fp"), radius)).alias("block", "key"))
+    met = probes.join(F.broadcast(index), ["item_key", "block", "key"])
     first = F.array_position(F.zip_with(_keys(F.col("fp"), radius), _keys(F.col("item_fp"), radius), lambda a, b: a == b), F.lit(True)) == F.col("block") + 1
     near = met.where((F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius) & first)
-    near = near.join(F.broadcast(own.select("item_id", "item_fp", "item_shingles")), ["item_id", "item_fp"])
+    near = near.join(F.broadcast(own.select("item_key", "item_id", "item_shingles")), "item_key")
     scored = near.select("doc_id", "item_id", "n_words", "start", weighted_similarity(F.col("item_shingles"), F.col("window")).alias("similarity"))
     return scored.where(F.col("similarity") >= similarity)
 

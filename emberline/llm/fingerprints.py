@@ -1,35 +1,32 @@
 """Document fingerprints: one-permutation MinHash, optimally densified, packed to low-order bits.
 
 Only built-in functions. A document's shingles are runs of five words (fewer words: all of them). Each is
-hashed once; the high bits of the hash are its bin, and a bin keeps its smallest hash. An empty bin borrows
-from a filled one that a sequence of pseudo-random bins, its own, reaches first; the sequence visits every bin,
-so it ends. Of each bin the low BITS bits are stored, as two hexadecimal digits, of the hash mixed with the
-bin's number: what several bins borrowed from one must not agree by chance in all of them at once. Likeness is the share of
-equal bins, corrected for the share that is equal by chance, between 0 and 1.
+hashed once; the high bits of the hash are its bin, and a bin keeps its smallest hash. An empty bin draws bins, each by
+a hash of its own number and the number of the attempt, until one is filled, and borrows from that (after ATTEMPTS,
+which matters to documents of one or two filled bins, from the lowest filled bin). Of each bin the low BITS bits are
+stored, eight bins to a long, of the hash mixed with the bin's number: what several bins borrowed from one must not
+agree by chance in all of them at once. Likeness is the share of equal bins, corrected for the share that is equal by
+chance, between 0 and 1.
 
 Equal texts have equal fingerprints. Null text counts as empty; a text without words has the fingerprint of
 all zeros, at likeness 1 to another such. Rows without doc_id are left out. Repeated rows of a doc_id are one
-document (of different texts under one id, the greatest). An empty table gives an empty result.
+document (of different texts under one id, the one of the greatest hash). An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberline.functions.columns import let
 from emberline.llm.common import ASCII_SPACE, buckets_for, slim
 from emberline.session import materialize
 
 BINS = 128  # two longs hold which are filled
 BITS = 8
 WORDS = 5
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value), with value worked out once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+PER_LONG, LONGS = 64 // BITS, BINS * BITS // 64
+ATTEMPTS = (4, 20, 100, 612)
 
 
 def long(x: int | Column) -> Column:
@@ -51,12 +48,7 @@ def shingle_hashes(words: Column, width: int = WORDS) -> Column:
     return let(F.transform(words, lambda w: F.xxhash64(w)), runs)
 
 
-def _odd(j: Column) -> Column:
-    """The step of bin j's own walk through all bins: odd, so that it visits each."""
-    return F.pmod(F.xxhash64(j), F.lit(BINS // 2)).cast("int") * 2 + 1
-
-
-def _fingerprint(hashes: Column) -> Column:
+def _bins(hashes: Column) -> Column:
     bin_of = lambda x: F.shiftright(x, 56).cast("int")  # noqa: E731  of 63 bits, the top seven
     low = long((1 << BITS) - 1)
 
@@ -73,12 +65,18 @@ def _fingerprint(hashes: Column) -> Column:
             place = lambda b: F.when(b < 64, F.bit_count(lower.bitwiseAND(below(b)))).otherwise(F.bit_count(lower) + F.bit_count(upper.bitwiseAND(below(b - 64))))
 
             def source(j: Column) -> Column:
-                walk = lambda t: F.pmod(j + t * _odd(j), F.lit(BINS))
-                first = lambda a, b: F.get(F.filter(F.transform(F.sequence(F.lit(a), F.lit(b)), walk), has), F.lit(0))
-                return F.when(has(j), j).otherwise(F.coalesce(first(1, 4), first(5, 16), first(17, BINS - 1)))
+                draw = lambda t: F.pmod(F.xxhash64(j, t), F.lit(BINS)).cast("int")
+                first = lambda a, b: F.get(F.filter(F.transform(F.sequence(F.lit(a), F.lit(b)), draw), has), F.lit(0))
+                draws = [first(a + 1, b) for a, b in zip((0, *ATTEMPTS), ATTEMPTS)]
+                return F.when(has(j), j).otherwise(F.coalesce(*draws, bin_of(F.get(firsts, F.lit(0)))))
 
-            value = lambda j: F.lpad(F.hex(F.xxhash64(F.element_at(firsts, place(source(j)) + 1), j).bitwiseAND(low)), 2, "0")
-            return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), value), "")
+            def byte(j: Column) -> Column:
+                return F.xxhash64(F.element_at(firsts, place(source(j)) + 1), j).bitwiseAND(low)
+
+            def eight(k: Column) -> Column:
+                return F.aggregate(F.sequence(F.lit(0), F.lit(PER_LONG - 1)), long(0), lambda x, i: F.call_function("shiftleft", x, F.lit(BITS)).bitwiseOR(byte(k * PER_LONG + i)))
+
+            return F.transform(F.sequence(F.lit(0), F.lit(LONGS - 1)), eight)
 
         return let(F.struct(mask(0).alias("lower"), mask(64).alias("upper")), stored)
 
@@ -86,21 +84,44 @@ def _fingerprint(hashes: Column) -> Column:
         return let(F.filter(ordered, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(ordered, i - 1)))), packed)
 
     positive = F.transform(hashes, lambda x: x.bitwiseAND(long((1 << 63) - 1)))
-    return F.when(F.size(hashes) == 0, F.lit("0" * (BINS * BITS // 4))).otherwise(let(F.sort_array(positive), firsts))
+    return F.when(F.size(hashes) == 0, F.array_repeat(long(0), LONGS)).otherwise(let(F.sort_array(positive), firsts))
+
+
+def bins(text: Column) -> Column:
+    """The fingerprint as an array of LONGS longs, PER_LONG bins each."""
+    return let(shingle_hashes(words_of(text)), _bins)
+
+
+def to_hex(packed: Column) -> Column:
+    """BINS bins of BITS bits in lower-case hexadecimal."""
+    return F.lower(F.array_join(F.transform(packed, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
+
+
+def from_hex(text: Column) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.lit(LONGS - 1)), lambda k: F.conv(F.substr(text, k * 16 + 1, F.lit(16)), 16, -10).cast("long"))
 
 
 def fingerprint(text: Column) -> Column:
-    """BINS bins of BITS bits in hexadecimal, as a string; lower-case digits."""
-    return F.lower(let(shingle_hashes(words_of(text)), _fingerprint))
+    return to_hex(bins(text))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity: equal bins, less those equal by chance."""
-    width = BITS // 4
-    part = lambda x, i: F.substr(x, i * width + 1, F.lit(width))
-    same = F.aggregate(F.sequence(F.lit(0), F.lit(BINS - 1)), F.lit(0), lambda n, i: n + F.when(part(a, i) == part(b, i), 1).otherwise(0))
+def bin_likeness(a: Column, b: Column) -> Column:
+    """Estimated Jaccard similarity: equal bins, less those equal by chance. A bin differs where its byte of the difference has any bit."""
+
+    def differ(x: Column) -> Column:
+        spread = lambda step: lambda y: y.bitwiseOR(F.shiftrightunsigned(y, step))
+        for step in (4, 2, 1):
+            x = let(x, spread(step))
+        return F.bit_count(x.bitwiseAND(long(0x0101010101010101)))
+
+    differing = F.aggregate(F.zip_with(a, b, lambda x, y: differ(x.bitwiseXOR(y))), F.lit(0), lambda n, d: n + d)
     chance = 1 / (1 << BITS)
-    return F.when(a == b, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), (same / F.lit(BINS) - chance) / (1 - chance)))
+    return F.when(differing == 0, F.lit(1.0)).otherwise(F.greatest(F.lit(0.0), (1 - differing / F.lit(BINS) - chance) / (1 - chance)))
+
+
+def likeness(a: Column, b: Column) -> Column:
+    """The same of two fingerprints in hexadecimal."""
+    return bin_likeness(from_hex(a), from_hex(b))
 
 
 def next_documents(docs: DataFrame, rows_per_part: int = 1 << 20) -> DataFrame:
@@ -109,7 +130,7 @@ def next_documents(docs: DataFrame, rows_per_part: int = 1 << 20) -> DataFrame:
     Only ids and lengths are ordered: range-partitioned, and each partition looked through by itself. The
     first and last row of each partition, and no more, are set against each other.
     """
-    ids = docs.select("doc_id", F.length("text").cast("long").alias("n_chars")).groupBy("doc_id").agg(F.max("n_chars").alias("n_chars"))
+    ids = docs.groupBy("doc_id").agg(F.max(F.struct(F.xxhash64("text").alias("h"), F.length("text").cast("long").alias("n"))).alias("chosen")).select("doc_id", F.col("chosen.n").alias("n_chars"))
     ids, _ = materialize(ids, "document-ids")
     n = buckets_for(ids.count(), rows_per_part)
     parts, _ = materialize(ids.repartitionByRange(n, "doc_id").select("doc_id", "n_chars", F.spark_partition_id().alias("part")), "ordered-ids")
@@ -123,26 +144,23 @@ def next_documents(docs: DataFrame, rows_per_part: int = 1 << 20) -> DataFrame:
 def fingerprint_digest(docs: DataFrame) -> DataFrame:
     """The contract's rows for each doc_id.
 
-    Texts move once, by doc_id. What a document needs of the next one, the code points that replace its end and
-    that text's fingerprint, is cut there and sent to it: a third of the texts moves again.
+    Texts move once, by doc_id. What a document needs of the next one's text, the code points that replace its end,
+    is cut there and sent to it: a third of the texts moves again. Each fingerprint is worked out once; the next
+    document's is joined to it as LONGS longs.
     """
     docs = slim(docs)
     order = next_documents(docs)
-    texts = docs.groupBy("doc_id").agg(F.max("text").alias("text"))
+    texts = docs.groupBy("doc_id").agg(F.max(F.struct(F.xxhash64("text").alias("h"), "text")).alias("chosen")).select("doc_id", "chosen.text")
     third = F.floor(F.col("n_chars") / 3).cast("int")
     asked = order.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("for_id"), "n_chars")
-    sent = texts.join(asked, "doc_id").select(F.col("for_id").alias("doc_id"), F.substr("text", F.lit(1), third).alias("head"), fingerprint(F.col("text")).alias("next_fingerprint"))
+    sent = texts.join(asked, "doc_id").select(F.col("for_id").alias("doc_id"), F.col("doc_id").alias("next_id"), F.substr("text", F.lit(1), third).alias("head"))
     n = F.length("text")
-    both = texts.join(sent, "doc_id").select(
-        "doc_id",
-        n.cast("long").alias("n_chars"),
-        "next_fingerprint",
-        fingerprint(F.col("text")).alias("fingerprint"),
-        F.concat(F.substr("text", F.lit(1), n - F.floor(n / 3).cast("int")), "head").alias("edited"),
-    )
-    out = both.select("*", F.sha2("edited", 256).alias("edited_sha256"), fingerprint(F.col("edited")).alias("edited_fingerprint"))
+    edited = F.concat(F.substr("text", F.lit(1), n - F.floor(n / 3).cast("int")), "head")
+    both = texts.join(sent, "doc_id").select("doc_id", "next_id", n.cast("long").alias("n_chars"), "text", edited.alias("edited"))
+    marked = both.select("doc_id", "next_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), bins(F.col("text")).alias("own"), bins(F.col("edited")).alias("other"))
+    marked, _ = materialize(marked, "fingerprints")
+    out = marked.join(marked.select(F.col("doc_id").alias("next_id"), F.col("own").alias("following")), "next_id")
     return out.select(
-        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", to_hex(F.col("own")).alias("fingerprint"), to_hex(F.col("other")).alias("edited_fingerprint"),
+        bin_likeness(F.col("own"), F.col("other")).alias("near_edited"), bin_likeness(F.col("own"), F.col("following")).alias("near_next"),
     )

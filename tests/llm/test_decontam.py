@@ -128,3 +128,50 @@ def test_parts_in_another_order_against_brute_force(spark):
     got = {(r["doc_id"], r["item_id"]): (round(r["similarity"], 9), r["window_start"]) for r in decontam.contaminated(df, bench).collect()}
     assert got == want and {(10 * k, k) for k in range(4)} | {(10 * k + 1, k) for k in range(4)} <= set(want)
     assert {r["doc_id"] for r in decontam.drop_contaminated(df, bench).collect()} == {i for i, _ in docs} - {i for i, _ in want}
+
+
+def test_similarity_of_bags(spark):
+    rng = random.Random(4)
+    rows = [([rng.randrange(6) for _ in range(rng.randrange(1, 30))], [rng.randrange(6) for _ in range(rng.randrange(1, 30))]) for _ in range(60)]
+    got = spark.createDataFrame(rows, "a array<long>, b array<long>").select("a", "b", decontam.weighted_similarity(F.col("a"), F.col("b")).alias("s")).collect()
+    for r in got:
+        a, b = Counter(r["a"]), Counter(r["b"])
+        assert abs(r["s"] - sum((a & b).values()) / sum((a | b).values())) < 1e-12
+
+
+def test_wide_counters(spark):
+    rng = random.Random(3)
+    hashes = [rng.getrandbits(64) - 2**63 for _ in range(500)]
+    df = spark.createDataFrame([(hashes,)], "h array<long>")
+    r = df.select(decontam.simhash(F.col("h")).alias("a"), decontam.simhash(F.col("h"), narrow=0).alias("b")).first()
+    assert r["a"] == r["b"]
+
+
+def test_long_items(spark):
+    """Items of 5,000 and 70,000 words, the longer beyond what 16-bit counters hold."""
+    rng = random.Random(21)
+    word = lambda k: [f"l{rng.randrange(10**7)}" for _ in range(k)]
+    long, longer = word(5_000), word(70_000)
+    changed = list(long)
+    for k in range(0, 5_000, 60):
+        changed[k] = "other"
+    docs = [(1, word(60) + changed + word(40)), (2, word(20) + longer[:66_000] + word(4_000)), (3, word(5_050)), (4, word(30) + long[:1_500] + word(3_500))]
+    df = spark.createDataFrame([(i, " ".join(w), 7, "clash") for i, w in docs], DOCS).repartition(4)
+    bench = spark.createDataFrame([(1, " ".join(long), "c"), (2, " ".join(longer), "c")], ITEMS)
+    got = {(r["doc_id"], r["item_id"]): (r["window_start"], r["similarity"]) for r in decontam.contaminated(df, bench).collect()}
+    assert set(got) == {(1, 1), (2, 2)} and got[1, 1][0] == 60
+    item, window = bag(long, 5), bag(docs[0][1][60:5_060], 5)
+    both = sum((item & window).values())
+    assert abs(got[1, 1][1] - both / (sum(item.values()) + sum(window.values()) - both)) < 1e-12 and got[2, 2][1] > 0.8
+
+
+def test_a_phrase_of_all_items_is_no_seed(spark):
+    """Items that share a phrase are sought by what is their own: a document of the phrase alone asks for no window."""
+    rng = random.Random(5)
+    phrase = "which of the following statements about the text above is true"
+    items = [(k, phrase + " " + " ".join(f"z{rng.randrange(10**6)}" for _ in range(40))) for k in range(30)]
+    docs = [(k, f"intro {k} {phrase} outro") for k in range(50)] + [(99, "start " + items[7][1] + " end")]
+    df = spark.createDataFrame([(i, t, 7, "c") for i, t in docs], DOCS)
+    bench = spark.createDataFrame([(i, t, "c") for i, t in items], ITEMS)
+    got = decontam.contaminated(df, bench).collect()
+    assert [(r["doc_id"], r["item_id"]) for r in got] == [(99, 7)]

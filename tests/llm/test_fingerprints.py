@@ -66,10 +66,58 @@ def test_estimate_is_unbiased(spark):
     assert abs(errors.mean()) < 0.012 and errors.std() < 0.06
 
 
-def test_densification_of_short_texts(spark):
-    df = spark.createDataFrame([(" ".join(f"a{i}" for i in range(12)), " ".join(f"a{i}" for i in range(1, 13)))], "a string, b string")
-    r = df.select(fp.fingerprint(F.col("a")).alias("x"), fp.likeness(fp.fingerprint(F.col("a")), fp.fingerprint(F.col("b"))).alias("s")).first()
-    assert len(r["x"]) == 256 and r["s"] > 0.4
+def plain_bins(hashes, mix):
+    """Optimal densification over a dict of filled bins, with the hash of (bin, attempt) given."""
+    own = {}
+    for x in sorted(h & (2**63 - 1) for h in hashes):
+        own.setdefault(x >> 56, x)
+    out = []
+    for j in range(fp.BINS):
+        source = j
+        if j not in own:
+            source = next((d for t in range(1, fp.ATTEMPTS[-1] + 1) if (d := mix[j, t] % fp.BINS) in own), min(own))
+        out.append((own[source], j))
+    return out
+
+
+def test_bins_against_a_plain_densification(spark):
+    draws = spark.range(fp.BINS).selectExpr("cast(id as int) j").crossJoin(spark.range(1, fp.ATTEMPTS[-1] + 1).selectExpr("cast(id as int) t")).select("j", "t", F.xxhash64("j", "t").alias("h"))
+    mix = {(r["j"], r["t"]): r["h"] for r in draws.collect()}
+    texts = [" ".join(f"t{n}x{i}" for i in range(n + 4)) for n in (1, 2, 3, 9, 40, 300)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(fp.shingle_hashes(fp.words_of(F.col("t"))).alias("h"), fp.bins(F.col("t")).alias("b")).collect()
+    want = [plain_bins(r["h"], mix) for r in rows]
+    flat = spark.createDataFrame([(k, j, x) for k, w in enumerate(want) for x, j in w], "k int, j int, x long").select("k", "j", F.xxhash64("x", "j").bitwiseAND(F.lit(255)).alias("v")).collect()
+    value = {(r["k"], r["j"]): r["v"] for r in flat}
+    for k, r in enumerate(rows):
+        got = [x >> 8 * (7 - i) & 255 for x in r["b"] for i in range(8)]
+        assert got == [value[k, j] for j in range(fp.BINS)]
+
+
+def test_variance_for_short_texts(spark):
+    """Of n shingles a and b share half the union: the estimate's spread must be near what optimal densification has, not a walk's."""
+    rng = random.Random(12)
+    for n in (8, 20, 50):
+        pairs = []
+        for _ in range(300):
+            shared = [f"s{rng.random()}" for _ in range(2 * n // 3)]
+            a, b = ([f"{x}{rng.random()}" for _ in range(n // 3)] for x in "ab")
+            pairs.append((shared + a, shared + b))
+        df = spark.createDataFrame(pairs, "a array<string>, b array<string>").repartition(4)
+        own = lambda c: fp._bins(F.transform(F.col(c), lambda w: F.xxhash64(w)))
+        got = np.array([r["s"] for r in df.select(fp.bin_likeness(own("a"), own("b")).alias("s")).collect()])
+        true = (2 * n // 3) / (2 * n // 3 + 2 * (n // 3))
+        filled = fp.BINS * (1 - (1 - 1 / fp.BINS) ** n)
+        least = true * (1 - true) / filled  # the variance if the filled bins were all
+        assert abs(got.mean() - true) < 0.03 and got.var() < 2.2 * least, (n, got.var(), least)
+
+
+def test_texts_of_one_id_give_one_consistent_row(spark):
+    rows = [(1, "b"), (1, "aaaaaa"), (2, "cdefgh")]
+    out = {r["doc_id"]: r for r in fp.fingerprint_digest(spark.createDataFrame([(i, t, None, None) for i, t in rows], SCHEMA)).collect()}
+    assert len(out) == 2 and out[1]["n_chars"] in (1, 6)
+    text = {1: "b", 6: "aaaaaa"}[out[1]["n_chars"]]
+    assert out[1]["edited_sha256"] == hashlib.sha256(edits({1: text, 2: "cdefgh"})[1][0].encode()).hexdigest()
+    assert out[2]["edited_sha256"] == hashlib.sha256(edits({1: text, 2: "cdefgh"})[2][0].encode()).hexdigest()
 
 
 def test_empty_and_single(spark):
