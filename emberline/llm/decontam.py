@@ -17,7 +17,7 @@ window of as many words as the item has (or the whole document, if shorter) has
    Distances are completed, then the weighted similarity is worked out from the shingles. At 0.8 fingerprints differ by
    up to 19 of 64 bits, so blocks are three or four bits wide and alone would tell few items apart.
 
-Items of any length: counters of fingerprints widen beyond 65,535 shingles, windows are cut one by one from the part of
+Items of any length: counters of fingerprints widen where an item has over 65,535 shingles, windows are cut one by one from the part of
 the document that is asked for, and the similarity takes time in proportion to a window.
 
 Seeds are broadcast in blocks of items with about seeds_per_block seeds each, index rows likewise, so what
@@ -47,31 +47,13 @@ def normal_words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+", -1), lambda w: w != "")
 
 
-def _simhash(hashes: Column, width: int) -> Column:
-    """With counters of `width` bits, as many to a long as fit."""
+def simhash(hashes: str, width: int = 16) -> Column:
+    """Bit 1 where over half of a column's hashes have it, as one SQL expression. Counters of `width` bits, as many to a long as fit: 16 bits count up to 65,535 hashes, 32 bits any array."""
     lanes, full = 64 // width, (1 << width) - 1
-
-    def lane_sum(k: int) -> Column:
-        def add(n: Column, h: Column) -> Column:
-            return n + F.shiftrightunsigned(h, k).bitwiseAND(long(sum(1 << width * lane for lane in range(lanes))))
-
-        return F.aggregate(hashes, long(0), add)
-
-    def bits(counts: Column) -> Column:
-        out = long(0)
-        for k in range(width):
-            for lane in range(lanes):
-                one = F.shiftrightunsigned(F.get(counts, F.lit(k)), width * lane).bitwiseAND(long(full)) * 2 > F.size(hashes)
-                bit = width * lane + k
-                out = out.bitwiseOR(F.when(one, long((1 << bit) - (1 << 64) if bit == 63 else 1 << bit)).otherwise(long(0)))
-        return out
-
-    return let(F.array(*[lane_sum(k) for k in range(width)]), bits)
-
-
-def simhash(hashes: Column, narrow: int = (1 << 16) - 1) -> Column:
-    """Bit 1 where over half of the hashes have it. Counters of 16 bits hold up to `narrow` hashes, those of 32 bits any array."""
-    return F.when(F.size(hashes) <= narrow, _simhash(hashes, 16)).otherwise(_simhash(hashes, 32))
+    ones = sum(1 << width * lane for lane in range(lanes))
+    counts = ", ".join(f"aggregate({hashes}, 0L, (n, h) -> n + (shiftrightunsigned(h, {k}) & {ones}L))" for k in range(width))
+    bits = [f"if((shiftrightunsigned(c[{k}], {width * lane}) & {full}L) * 2 > size({hashes}), shiftleft(1L, {width * lane + k}), 0L)" for k in range(width) for lane in range(lanes)]
+    return F.expr(f"transform(array(array({counts})), c -> {' | '.join(bits)})[0]")
 
 
 def weighted_similarity(a: Column, b: Column) -> Column:
@@ -113,8 +95,8 @@ def _blocks(radius: int) -> list[tuple[int, int]]:
     return [(cuts[k], cuts[k + 1] - cuts[k]) for k in range(n)]
 
 
-def _keys(fp: Column, radius: int) -> Column:
-    return F.array(*[F.shiftrightunsigned(fp, at).bitwiseAND(long((1 << width) - 1)) for at, width in _blocks(radius)])
+def _keys(fp: str, radius: int) -> Column:
+    return F.expr("array(" + ", ".join(f"shiftrightunsigned({fp}, {at}) & {(1 << width) - 1}L" for at, width in _blocks(radius)) + ")")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 19, seeds_per_block: int = 1 << 17, few_docs: int = 1 << 16) -> DataFrame:
@@ -139,7 +121,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
 def _contaminated(docs: DataFrame, items: DataFrame, width: int, similarity: float, radius: int, seeds_per_block: int, few_docs: int) -> DataFrame:
     own = items.where(F.col("width") == width).select("item_id", "n_words", shingle_hashes(F.col("words"), width).alias("item_shingles")).dropDuplicates(["item_id", "item_shingles"])
     own = own.withColumn("item_key", F.xxhash64("item_id", "item_shingles")).withColumn("miss", _missing(F.size("item_shingles"), similarity))
-    own, _ = materialize(own.withColumn("item_fp", simhash(F.col("item_shingles"))), "items")
+    own, _ = materialize(own, "items")
+    counter = 16 if (own.agg(F.max(F.size("item_shingles")).alias("n")).first()["n"] or 0) < 1 << 16 else 32  # windows are no longer than items
+    own, _ = materialize(own.withColumn("item_fp", simhash("item_shingles", counter)), "items")
     places = own.select("item_key", "n_words", "miss", F.explode("item_shingles").alias("h"))
     rare = places.groupBy("h").agg(F.count_distinct("item_key").alias("items"))
     ordered = places.join(rare, "h").groupBy("item_key", "n_words", "miss").agg(F.array_sort(F.collect_list(F.struct("items", "h"))).alias("ordered"))
@@ -147,7 +131,7 @@ def _contaminated(docs: DataFrame, items: DataFrame, width: int, similarity: flo
     seeds, _ = materialize(seeds, "seeds")
     n_blocks = max(1, -(-seeds.count() // seeds_per_block))
     block = F.pmod(F.xxhash64("item_key"), F.lit(n_blocks))
-    found = [_scan(docs, own.where(block == k), seeds.where(block == k), width, similarity, radius, few_docs) for k in range(n_blocks)]
+    found = [_scan(docs, own.where(block == k), seeds.where(block == k), width, similarity, radius, few_docs, counter) for k in range(n_blocks)]
     return reduce(DataFrame.unionByName, found)
 
 
@@ -160,7 +144,7 @@ def _merged(hits: Column) -> Column:
     return F.filter(F.transform(hits, rest), lambda x: x["low"] <= x["high"])
 
 
-def _scan(docs: DataFrame, own: DataFrame, seeds: DataFrame, width: int, similarity: float, radius: int, few_docs: int) -> DataFrame:
+def _scan(docs: DataFrame, own: DataFrame, seeds: DataFrame, width: int, similarity: float, radius: int, few_docs: int, counter: int) -> DataFrame:
     texts = slim(docs).select("doc_id", shingle_hashes(normal_words(F.col("text")), width).alias("shingles"))
     rows = texts.select("doc_id", F.size("shingles").alias("n"), F.posexplode("shingles").alias("pos", "h"))
     last = F.greatest(F.col("n") + width - 1 - F.col("n_words"), F.lit(0))  # start of the last window of n_words words
@@ -177,11 +161,11 @@ def _scan(docs: DataFrame, own: DataFrame, seeds: DataFrame, width: int, similar
     parts = ranges.select("doc_id", "item_key", "n_words", "r.low", "r.high", F.slice("shingles", F.col("r.low") + 1, F.col("r.high") - F.col("r.low") + m).alias("part"))
     starts = parts.select("doc_id", "item_key", "n_words", "low", "part", F.explode(F.sequence("low", "high")).alias("start"))
     windows = starts.select("doc_id", "item_key", "n_words", "start", F.slice("part", F.col("start") - F.col("low") + 1, m).alias("window")).where(F.size("window") > 0)
-    marked = windows.withColumn("fp", simhash(F.col("window")))
-    index = own.select("item_key", "item_fp", F.posexplode(_keys(F.col("item_fp"), radius)).alias("block", "key"))
-    probes = marked.select("doc_id", "item_key", "n_words", "start", "window", "fp", F.posexplode(_keys(F.col("fp"), radius)).alias("block", "key"))
+    marked = windows.withColumn("fp", simhash("window", counter))
+    index = own.select("item_key", "item_fp", F.posexplode(_keys("item_fp", radius)).alias("block", "key"))
+    probes = marked.select("doc_id", "item_key", "n_words", "start", "window", "fp", F.posexplode(_keys("fp", radius)).alias("block", "key"))
     met = probes.join(F.broadcast(index), ["item_key", "block", "key"])
-    first = F.array_position(F.zip_with(_keys(F.col("fp"), radius), _keys(F.col("item_fp"), radius), lambda a, b: a == b), F.lit(True)) == F.col("block") + 1
+    first = F.array_position(F.zip_with(_keys("fp", radius), _keys("item_fp", radius), lambda a, b: a == b), F.lit(True)) == F.col("block") + 1
     near = met.where((F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius) & first)
     near = near.join(F.broadcast(own.select("item_key", "item_id", "item_shingles")), "item_key")
     scored = near.select("doc_id", "item_id", "n_words", "start", weighted_similarity(F.col("item_shingles"), F.col("window")).alias("similarity"))

@@ -7,15 +7,15 @@ Two documents are linked if their sets of five-word shingles (words as in simhas
    It finds what lies within `radius` bits. At 0.8 fingerprints differ by 10 bits on average and by up to 20, more than
    any blocks of 64 bits can carry, so the index alone can't give right results at 0.8.
 2. Bands of MinHash values: a document enters one row for each of `bands` bands of `rows` values. A pair at similarity s
-   shares none with probability (1 - s ** rows) ** bands: 5e-5 at 0.8, less above. What meets in a row is compared by
-   128-bit sketches (the lowest bits of the values); the distance of a pair at 0.8 is within SKETCH_RADIUS but for about 1e-4.
+   shares none with probability (1 - s ** rows) ** bands: 5e-5 at 0.8, less above. Rows that nobody shares fall away where
+   they are sorted. What meets in the others is compared by sketches, two bits of each of VALUES MinHash values; a pair at
+   0.8 differs in at most SKETCH_RADIUS of them but for about 1e-4.
 
 Nothing is emitted for all pairs of a row. First each document is set against the closest document it meets; the verified
 pairs make components, and only documents of different components are compared after that: of each two components the
-closest pairs of a row first, sixteen times as many each round, until every pair the index holds is verified or within a
-component. Rows of the index that nobody shares fall away where they are sorted. Rows are range-partitioned by key and
-node, so a hot key spreads over partitions; crowded rows are cut into blocks (simhash.deal). Equal sets are one node from
-the start. Only texts with a candidate move, to the partner that most others are set against, in chunks of at most
+closest pairs of a row first, sixty-four times as many each round, until every pair the index holds is verified or within a
+component. Rows are range-partitioned by key and node, so a hot key spreads over partitions; crowded rows are cut into
+blocks (simhash.deal). Equal sets are one node from the start. Only texts with a candidate move, to the partner that most others are set against, in chunks of at most
 CHUNK documents.
 
 Null text counts as empty, texts without words are equal to each other, rows without doc_id are left out. Repeated rows
@@ -40,13 +40,14 @@ from emberline.operators.components import connected_components
 from emberline.session import materialize, release
 
 BANDS, ROWS = 25, 5
-VALUES = 128  # MinHash values a document: bands x rows of them make keys, the lowest bits of all a sketch
-SKETCH_RADIUS = 27  # a tenth of 128 bits differs at 0.8, with a deviation of 3.4 bits
+VALUES = 256  # MinHash values a document: bands x rows of them make keys, two bits of each a sketch
+SKETCH = VALUES // 32  # longs of a sketch
+SKETCH_RADIUS = 60  # at 0.8 two sketches differ in 38 values on average, with a deviation of 5.7
 CHUNK = 256
 _ODD = mix(np.arange(1, VALUES + 1, dtype=np.uint64)) | np.uint64(1)
 _ADD = mix(np.arange(VALUES + 1, 2 * VALUES + 1, dtype=np.uint64))
-MARKS = "doc_id long, d1 long, d2 long, fp long, s1 long, s2 long, keys array<long>"
-MEET = "key long, node long, s1 long, s2 long"
+MARKS = "doc_id long, d1 long, d2 long, fp long, sketch binary, keys array<long>"
+MEET = "key long, node long"
 
 
 def min_hashes(own: np.ndarray, block: int = 1 << 12) -> np.ndarray:
@@ -55,7 +56,7 @@ def min_hashes(own: np.ndarray, block: int = 1 << 12) -> np.ndarray:
 
 
 def marks_of(docs: DataFrame, words: int = 5) -> DataFrame:
-    """doc_id, d1, d2 (a digest of the set of shingles), fp (SimHash), s1, s2 (sketch), keys (a key for each band)."""
+    """doc_id, d1, d2 (a digest of the set of shingles), fp (SimHash), sketch, keys (a key for each band)."""
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,7 +70,8 @@ def marks_of(docs: DataFrame, words: int = 5) -> DataFrame:
                 digests.append(xxhash.xxh3_128_intdigest(own.tobytes()))
                 mins.append(min_hashes(own))
             low = mix(np.stack(mins))
-            sketch = np.packbits((low & np.uint64(1)).astype(bool), axis=1).view(np.uint64)
+            two = np.stack([low >> np.uint64(40) & np.uint64(1), low >> np.uint64(41) & np.uint64(1)], axis=2)
+            sketch = [x.tobytes() for x in np.packbits(two.reshape(len(mins), -1).astype(bool), axis=1)]
             key = np.zeros((len(mins), BANDS), np.uint64)
             for r in range(ROWS):
                 key = mix(key ^ low[:, r : BANDS * ROWS : ROWS])
@@ -77,7 +79,7 @@ def marks_of(docs: DataFrame, words: int = 5) -> DataFrame:
             longs = lambda x: pa.array(np.ascontiguousarray(x, np.uint64).view(np.int64))
             big = np.array([[d >> 64, d & (2**64 - 1)] for d in digests], np.uint64)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, key.size + 1, BANDS, dtype=np.int32)), longs(key.ravel()))
-            yield pa.record_batch([batch["doc_id"], longs(big[:, 0]), longs(big[:, 1]), longs(np.array(fps, np.uint64)), longs(sketch[:, 0]), longs(sketch[:, 1]), lists], names=["doc_id", "d1", "d2", "fp", "s1", "s2", "keys"])
+            yield pa.record_batch([batch["doc_id"], longs(big[:, 0]), longs(big[:, 1]), longs(np.array(fps, np.uint64)), pa.array(sketch, pa.binary()), lists], names=["doc_id", "d1", "d2", "fp", "sketch", "keys"])
 
     return slim(docs).mapInArrow(f, MARKS)
 
@@ -105,8 +107,22 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held
 
 
-def _distance(s1: np.ndarray, s2: np.ndarray, a: slice, b: slice) -> np.ndarray:
-    return np.bitwise_count(s1[a, None] ^ s1[None, b]) + np.bitwise_count(s2[a, None] ^ s2[None, b])
+def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many values sketches differ."""
+    x = a ^ b
+    return np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(-1, dtype=np.int16)
+
+
+def _distances(sketch: np.ndarray, own: slice, others: slice) -> np.ndarray:
+    a, b = sketch[own], sketch[others]
+    out = np.zeros((len(a), len(b)), np.int16)
+    for k in range(SKETCH):
+        out += _distance(a[:, k, None, None], b[None, :, k, None])
+    return out
+
+
+def _sketches(rows: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint64).reshape(-1, SKETCH)
 
 
 def _columns(rows: pa.Table, *names: str) -> list[np.ndarray]:
@@ -117,19 +133,19 @@ def _closest(radius: int, block: int = 512):
     """For each member of each run the closest other member within radius (a, b, d); of equally close ones the smallest."""
 
     def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, part, node, s1, s2 = _columns(rows, "key", "part", "node", "s1", "s2")
-        s1, s2 = s1.view(np.uint64), s2.view(np.uint64)
+        key, part, node = _columns(rows, "key", "part", "node")
+        sketch = _sketches(rows)
         at = runs(key, part)
         size = np.diff(at)
         two = at[:-1][size == 2]
-        d = np.bitwise_count(s1[two] ^ s1[two + 1]) + np.bitwise_count(s2[two] ^ s2[two + 1])
+        d = _distance(sketch[two], sketch[two + 1])
         ok = d <= radius
         found = [(node[two[ok] + 1], node[two[ok]], d[ok]), (node[two[ok]], node[two[ok] + 1], d[ok])]
         for k in np.flatnonzero(size > 2):
             begin, end = at[k], at[k + 1]
             for i in range(begin, end, block):
                 own = slice(i, min(i + block, end))
-                dist = _distance(s1, s2, own, slice(begin, end)).astype(np.int16)
+                dist = _distances(sketch, own, slice(begin, end))
                 rank = np.arange(own.start, own.stop)
                 dist[rank - i, rank - begin] = 1000
                 best = dist.argmin(1)
@@ -147,14 +163,14 @@ def _across(radius: int, cap: int, block: int = 512):
     """Pairs within radius of different components: of each two components in a run (and block of it) the `cap` closest; more: some were left."""
 
     def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        key, part, node, s1, s2, group = _columns(rows, "key", "part", "node", "s1", "s2", "component")
-        s1, s2 = s1.view(np.uint64), s2.view(np.uint64)
+        key, part, node, group = _columns(rows, "key", "part", "node", "component")
+        sketch = _sketches(rows)
         at = runs(key, part)
         for k in np.flatnonzero((np.diff(at) > 1) & (np.minimum.reduceat(group, at[:-1]) != np.maximum.reduceat(group, at[:-1]))):
             begin, end = at[k], at[k + 1]
             for i in range(begin, end, block):
                 own = slice(i, min(i + block, end))
-                dist = _distance(s1, s2, own, slice(i, end))
+                dist = _distances(sketch, own, slice(i, end))
                 x, y = np.nonzero((dist <= radius) & (group[own, None] != group[None, i:end]))
                 keep = x < y
                 x, y = x[keep], y[keep]
@@ -207,12 +223,13 @@ def _unordered(pairs: DataFrame) -> DataFrame:
 def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3, limit: int = 1 << 13, few: int = 1 << 17, row_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, component_id (the smallest doc_id reachable) for each doc_id."""
     marks, _ = materialize(marks_of(docs, words), "marks")
-    nodes = marks.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("keys").alias("keys"))
+    nodes = marks.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
     nodes, _ = materialize(nodes, "nodes")
-    n = buckets_for(nodes.count() * BANDS * 32, row_bytes)
-    rows = nodes.select(F.explode("keys").alias("key"), "node", "s1", "s2").repartitionByRange(n, "key", "node").sortWithinPartitions("key", "node")
+    n = buckets_for(nodes.count() * BANDS * 16, row_bytes)
+    rows = nodes.select(F.explode("keys").alias("key"), "node").repartitionByRange(n, "key", "node").sortWithinPartitions("key", "node")
     shared, path = materialize(rows.mapInArrow(_shared, MEET), "shared-rows")
-    meet, _ = materialize(deal(shared, limit, "node", "s1", "s2"), "dealt-rows")
+    sketches = nodes.select("node", "sketch")  # an id with several texts meets by each
+    meet, _ = materialize(deal(shared, limit, "node").join(sketches, "node"), "dealt-rows")
     release(docs.sparkSession, path)
 
     def met(rows: DataFrame, step, schema: str) -> DataFrame:
@@ -228,19 +245,22 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     several, _ = materialize(several, "documents-of-nodes")
     apart = several.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b <> last").select("doc_id", "b")
     sure = [verified(texts, tried, words, similarity), several.join(apart, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")]
-    cap = 16
+    cap, found = 64, None
     while True:
-        found = connected_components(reduce(DataFrame.unionByName, sure)).withColumnRenamed("node", "__node")
-        named = meet.join(found, F.col("node") == F.col("__node"), "left").select("key", "part", "node", "s1", "s2", F.coalesce("component", "node").alias("component"))
+        if found is None:
+            found = connected_components(reduce(DataFrame.unionByName, sure)).withColumnRenamed("node", "__node")
+        named = meet.join(found, F.col("node") == F.col("__node"), "left").select("key", "part", "node", "sketch", F.coalesce("component", "node").alias("component"))
         across, _ = materialize(met(named, _across(SKETCH_RADIUS, cap), "a long, b long, more boolean"), "pairs")
         new, _ = materialize(_unordered(across).join(tried, ["a", "b"], "left_anti"), "candidates")
         left = new.count()
         if not left and not across.where("more").head(1):
             break
         if left:
-            sure.append(verified(texts, new, words, similarity))
+            more = verified(texts, new, words, similarity)
             tried = tried.unionByName(new)
-        cap *= 16
+            if more.head(1):
+                sure, found = [*sure, more], None
+        cap *= 64
     named = several.join(found, F.col("node") == F.col("__node"), "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
     return named.distinct()
 

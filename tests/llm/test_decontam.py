@@ -83,13 +83,13 @@ def test_index_radius_is_guaranteed(spark):
         a = rng.getrandbits(63)
         rows.append((a, a ^ sum(1 << b for b in rng.sample(range(63), 19))))
     df = spark.createDataFrame(rows, "a long, b long")
-    met = df.select(F.arrays_overlap(F.zip_with(decontam._keys(F.col("a"), 19), decontam._keys(F.col("b"), 19), lambda x, y: x == y), F.array(F.lit(True))).alias("m"))
+    met = df.select(F.arrays_overlap(F.zip_with(decontam._keys("a", 19), decontam._keys("b", 19), lambda x, y: x == y), F.array(F.lit(True))).alias("m"))
     assert met.where("m").count() == 300
 
 
 def test_simhash_bits(spark):
     hashes = [-1, 5, 7, -(2**63), 123456789, 2**40]
-    got = spark.createDataFrame([(hashes,)], "h array<long>").select(decontam.simhash(F.col("h")).alias("f")).first()["f"]
+    got = spark.createDataFrame([(hashes,)], "h array<long>").select(decontam.simhash("h").alias("f")).first()["f"]
     want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
     assert got & (2**64 - 1) == want
 
@@ -143,7 +143,7 @@ def test_wide_counters(spark):
     rng = random.Random(3)
     hashes = [rng.getrandbits(64) - 2**63 for _ in range(500)]
     df = spark.createDataFrame([(hashes,)], "h array<long>")
-    r = df.select(decontam.simhash(F.col("h")).alias("a"), decontam.simhash(F.col("h"), narrow=0).alias("b")).first()
+    r = df.select(decontam.simhash("h").alias("a"), decontam.simhash("h", 32).alias("b")).first()
     assert r["a"] == r["b"]
 
 
