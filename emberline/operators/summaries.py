@@ -88,3 +88,21 @@ def cycle_position(bucket: Column, place: Column, cycle: list[str]) -> Column:
         slot = F.element_at(F.array(*[F.lit(k).cast("long") for k in slots]), (place % len(slots) + 1).cast("int"))
         out = F.when(bucket == name, F.struct(F.floor(place / len(slots)).cast("long").alias("round"), slot.alias("slot"))).otherwise(out)
     return out
+
+
+def judge_scores(rows: DataFrame) -> DataFrame:
+    """model, judged, event_precision, event_recall, mean_overall, win_share of judged extractions (id, model, events, ok, missed, overall).
+
+    The best overall mark of an id is a win, shared among models that have it; the share is of all ids.
+    """
+    best = rows.groupBy("id").agg(F.max("overall").alias("__best"))
+    ties = rows.join(best, "id").where(F.col("overall") == F.col("__best")).groupBy("id").agg(F.first("__best").alias("__best"), F.count(F.lit(1)).alias("__ties"))
+    marked = rows.join(ties, "id", "left").withColumn("__win", F.when(F.col("overall") == F.col("__best"), 1 / F.col("__ties")).otherwise(0.0))
+    by = marked.groupBy("model").agg(
+        F.count(F.lit(1)).alias("judged"), F.sum("events").alias("e"), F.sum("ok").alias("o"), F.sum("missed").alias("m"), F.avg("overall").alias("a"), F.sum("__win").alias("w")
+    )
+    total = rows.agg(F.count_distinct("id").alias("n"))
+    return by.crossJoin(F.broadcast(total)).select(
+        "model", "judged", F.round(F.col("o") / F.greatest("e", F.lit(1)), 3).alias("event_precision"), F.round(F.col("o") / F.greatest(F.col("o") + F.col("m"), F.lit(1)), 3).alias("event_recall"),
+        F.round("a", 2).alias("mean_overall"), F.round(F.col("w") / F.col("n"), 3).alias("win_share"),
+    )
