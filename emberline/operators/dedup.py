@@ -8,7 +8,7 @@ number is the longest chain of matches, not the number of items.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberline.functions.text import normalized_text
@@ -57,16 +57,27 @@ def shingled(docs: DataFrame, id_: str, text: str) -> DataFrame:
 def overlap_pairs(shingles: DataFrame, least: int = 40, limit: float = 0.82) -> DataFrame:
     """later, earlier, overlap: distinct texts whose shared shingles are over `limit` of the smaller set, the later with over `least`.
 
-    Exact copies are one text here (the first), so copies don't multiply pairs.
+    Exact copies are one text here (the first), so copies don't multiply pairs. A smaller set of n shingles has over
+    limit * n of them in the larger, so one of its n - floor(limit * n) rarest is among them: only these probe the larger
+    sets, and a shingle that very many texts hold is probed by texts alone that hold little else.
     """
     first = shingles.groupBy("content_hash").agg(F.min("id").alias("id"), F.min_by("shingles", "id").alias("shingles")).select("id", "shingles", F.size("shingles").alias("n"))
+    first, _ = materialize(first, "distinct-texts")
     long = first.select("id", "n", F.explode("shingles").alias("h"))
-    other = long.select(F.col("id").alias("earlier"), F.col("n").alias("m"), "h")
-    met = long.where(F.col("n") > least).join(other, "h").where(F.col("earlier") < F.col("id"))
-    # no overlap over the limit without so many shared shingles
-    counted = met.groupBy("id", "earlier", "n", "m").agg(F.count(F.lit(1)).alias("shared"))
-    share = F.col("shared") / F.greatest(F.least("n", "m"), F.lit(1))
-    return counted.where(share > limit).select(F.col("id").alias("later"), "earlier", F.round(share, 6).alias("overlap"))
+    counted = long.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).where("texts > 1")
+    # shingles of one text alone take the first places and probe nothing; how many there are is n less those met here
+    met = long.join(counted, "h")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("texts", "h")) + F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("id"))
+    probes = met.withColumn("__rank", rank).where(F.col("__rank") <= F.col("n") - F.floor(F.col("n") * limit - 1e-9)).select("h", F.col("id").alias("small"), F.col("n").alias("ns"))
+    others = met.select("h", F.col("id").alias("large"), F.col("n").alias("nl"))
+    fits = (F.col("nl") > F.col("ns")) | ((F.col("nl") == F.col("ns")) & (F.col("large") < F.col("small")))
+    later_size = F.when(F.col("small") > F.col("large"), F.col("ns")).otherwise(F.col("nl"))
+    tried = probes.join(others, "h").where(fits & (later_size > least)).select("small", "large").distinct()
+    sets = first.select("id", "shingles")
+    both = tried.join(sets.select(F.col("id").alias("small"), F.col("shingles").alias("a")), "small").join(sets.select(F.col("id").alias("large"), F.col("shingles").alias("b")), "large")
+    share = F.size(F.array_intersect("a", "b")) / F.greatest(F.size("a"), F.lit(1))
+    ends = both.select(F.greatest("small", "large").alias("later"), F.least("small", "large").alias("earlier"), share.alias("share"))
+    return ends.where(F.col("share") > limit).select("later", "earlier", F.round("share", 6).alias("overlap"))
 
 
 def near_duplicates(docs: DataFrame, id_: str, text: str) -> DataFrame:
@@ -81,12 +92,23 @@ def near_duplicates(docs: DataFrame, id_: str, text: str) -> DataFrame:
     return named.select("id", F.coalesce("duplicate_of", F.when(F.col("id") != F.col("rep"), F.col("rep"))).alias("duplicate_of"))
 
 
-def word_pairs(items: DataFrame, words: str, rule: Column) -> DataFrame:
-    """later, earlier of items (id, words array) that share a word and satisfy rule over columns a, b (words of the earlier and the later)."""
-    own = items.select("id", F.col(words).alias("w"))
-    by_word = own.select("id", F.explode(F.array_distinct("w")).alias("word"))
-    met = by_word.join(by_word.withColumnRenamed("id", "earlier"), "word").where(F.col("earlier") < F.col("id")).select("id", "earlier").distinct()
-    full = met.join(own.withColumnRenamed("w", "b"), "id").join(own.select(F.col("id").alias("earlier"), F.col("w").alias("a")), "earlier")
+def word_pairs(items: DataFrame, words: str, rule: Column, least: float = 0.5, neighbours: bool = True) -> DataFrame:
+    """later, earlier of items (id, words array) that satisfy rule over columns a, b (words of the earlier and the later).
+
+    The rule must ask for a Jaccard similarity of at least `least`, for one set within the other or, with neighbours, for two
+    neighbouring words in common. At that similarity a set of n words shares 2 * n * least / (1 + least) with one no smaller,
+    so one of its rarest words is shared: only these probe, and a word that all items hold is probed by items of little else.
+    """
+    own = items.select("id", F.col(words).alias("w"), F.array_distinct(words).alias("s"))
+    by_word = own.select("id", F.size("s").alias("n"), F.explode("s").alias("word"))
+    ranked = by_word.join(by_word.groupBy("word").agg(F.count(F.lit(1)).alias("items")), "word").withColumn("__rank", F.row_number().over(Window.partitionBy("id").orderBy("items", "word")))
+    probes = ranked.where(F.col("__rank") <= F.col("n") - F.ceil(F.col("n") * (2 * least / (1 + least)) - 1e-9) + 1).select("word", F.col("id").alias("x"), F.col("n").alias("nx"))
+    met = probes.join(by_word.select("word", F.col("id").alias("y"), "n"), "word").where((F.col("x") != F.col("y")) & (F.col("n") >= F.col("nx"))).select("x", "y")
+    if neighbours:
+        two = own.where(F.size("w") > 1).select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.array_join(F.slice("w", i, 2), " ")))).alias("two"))
+        met = met.unionByName(two.select("two", F.col("id").alias("x")).join(two.select("two", F.col("id").alias("y")), "two").where("x < y").select("x", "y"))
+    pairs = met.select(F.greatest("x", "y").alias("id"), F.least("x", "y").alias("earlier")).distinct()
+    full = pairs.join(own.select("id", F.col("w").alias("b")), "id").join(own.select(F.col("id").alias("earlier"), F.col("w").alias("a")), "earlier")
     return full.where(rule).select(F.col("id").alias("later"), "earlier")
 
 
@@ -104,8 +126,6 @@ def same_technology(a: Column, b: Column) -> Column:
 
 def merge_aliases(rows: DataFrame) -> DataFrame:
     """Rows (id, term, alias_of, label, ours): terms and aliases become one group; contradicting groups go; of each group one row stays, ours first, then the smallest id."""
-    from pyspark.sql import Window
-
     owners = rows.select(F.col("term").alias("owner")).distinct()
     grouped = rows.join(owners, F.col("alias_of") == F.col("owner"), "left").withColumn("term_group", F.coalesce("owner", "term")).drop("owner")
     flags = grouped.groupBy("term_group").agg((F.count_distinct("label") > 1).alias("contradicts"), F.array_sort(F.collect_set("term")).alias("aliases"))

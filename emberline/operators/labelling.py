@@ -117,7 +117,7 @@ def claim_names(names: DataFrame) -> DataFrame:
     clean = F.trim(F.regexp_replace(F.lower(F.coalesce("name", F.lit(""))), "[^a-zа-я0-9]+", " "))
     words = names.select("id", F.array_distinct(F.filter(F.split(clean, " "), lambda w: F.length(w) > 3)).alias("w"))
     some = words.where(F.size("w") > 0)
-    settled = first_survivors(some.select("id"), word_pairs(some, "w", jaccard(F.col("a"), F.col("b")) > 0.6))
+    settled = first_survivors(some.select("id"), word_pairs(some, "w", jaccard(F.col("a"), F.col("b")) > 0.6, 0.6, neighbours=False))
     return words.select("id").join(settled.select("id", F.col("duplicate_of").isNull().alias("free")), "id", "left").select("id", F.coalesce("free", F.lit(False)).alias("claimed"))
 
 

@@ -13,7 +13,7 @@ from emberline.plans.base import query
 from emberline.plans.text_plans import FOLD
 from emberline.session import table
 
-SHINGLES = f"""n AS (SELECT doc_id, sha256({FOLD.format('text')}) AS hash, string_split({FOLD.format('text')}, ' ')[1:5000] AS w FROM documents),
+SHINGLES = f"""n AS (SELECT doc_id, sha256({FOLD.format('text')}) AS hash, string_split({FOLD.format('text')}, ' ') AS w FROM documents),
 sh AS (SELECT doc_id, hash, list_distinct(list_transform(list_filter(range(0, greatest(len(w) - 5, 0) + 1, 3), lambda i: i + 5 <= len(w)), lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS s FROM n),
 rep AS (SELECT min(doc_id) AS id, arg_min(s, doc_id) AS s, hash FROM sh GROUP BY hash), f AS (SELECT id, len(s) AS n, unnest(s) AS h FROM rep),
 pairs AS (SELECT a.id AS later, b.id AS earlier, count(*) / greatest(least(any_value(a.n), any_value(b.n)), 1) AS overlap FROM f a JOIN f b ON a.h = b.h AND b.id < a.id WHERE a.n > 40 GROUP BY ALL HAVING overlap > 0.82)"""

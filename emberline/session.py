@@ -29,11 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a local session gets a temp folder of its own; elsewhere that is an error."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return chosen_dir(where, spark.sparkContext.master)
+
+
+def chosen_dir(where: str | None, master: str) -> str:
     if not where:
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = os.path.join(tempfile.gettempdir(), "emberline-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 

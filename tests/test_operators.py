@@ -278,3 +278,60 @@ def test_near_duplicates_look_at_whole_texts(spark):
     got = {r["id"]: r["duplicate_of"] for r in dedup.near_duplicates(docs, "doc_id", "text").collect()}
     assert got == {1: None, 2: None, 3: None, 4: 3}
     assert [(r["later"], r["earlier"]) for r in dedup.overlap_pairs(dedup.shingled(docs, "doc_id", "text")).collect()] == [(4, 3)]
+
+
+def test_overlap_pairs_against_every_pair(spark):
+    import random
+
+    from emberline.operators import dedup
+
+    rng = random.Random(3)
+    rows = []
+    for g in range(12):
+        base = rng.sample(range(g * 1000, g * 1000 + 900), rng.choice([30, 60, 120]))
+        for k in range(5):
+            own = set(base) - set(rng.sample(base, rng.randrange(0, 16))) | {-5}  # one shingle in every text
+            rows.append((g * 10 + k, f"{g}-{k}", sorted(own | {10**6 + rng.randrange(10**6) for _ in range(rng.randrange(12))})))
+    rows += [(900, "tiny", [-5]), (901, "few", rows[0][2][:45])]
+    df = spark.createDataFrame(rows, "id long, content_hash string, shingles array<long>")
+    want = set()
+    for i, _, a in rows:
+        for j, _, b in rows:
+            if j < i and len(a) > 40 and len(set(a) & set(b)) / max(1, min(len(a), len(b))) > 0.82:
+                want.add((i, j))
+    got = [(r["later"], r["earlier"]) for r in dedup.overlap_pairs(df).collect()]
+    assert set(got) == want and len(got) == len(want) and len(want) > 20
+
+
+def test_word_pairs_against_every_pair(spark):
+    import random
+
+    from emberline.operators import dedup
+
+    rng = random.Random(5)
+    rows = [(k, ["common", *rng.choices([f"w{i}" for i in range(40)], k=rng.randrange(0, 6))]) for k in range(120)]
+    df = spark.createDataFrame(rows, "id long, words array<string>")
+
+    def similar(a, b, limit):
+        return len(set(a) & set(b)) / len(set(a) | set(b)) > limit
+
+    def same(a, b):
+        x, y = set(a), set(b)
+        both = len(x & y)
+        return both / len(x | y) >= 0.5 or both in (len(x), len(y)) or bool(set(zip(a, a[1:])) & set(zip(b, b[1:])))
+
+    pairs = [((i, a), (j, b)) for i, b in rows for j, a in rows if j < i]
+    got = {(r["later"], r["earlier"]) for r in dedup.word_pairs(df, "words", dedup.same_technology(F.col("a"), F.col("b"))).collect()}
+    assert got == {(i, j) for (i, a), (j, b) in pairs if same(b, a)}
+    got = {(r["later"], r["earlier"]) for r in dedup.word_pairs(df, "words", dedup.jaccard(F.col("a"), F.col("b")) > 0.6, 0.6, neighbours=False).collect()}
+    assert got == {(i, j) for (i, a), (j, b) in pairs if similar(a, b, 0.6)}
+
+
+def test_shared_folder_is_asked_for_where_executors_are_elsewhere():
+    import pytest
+
+    from emberline.session import chosen_dir
+
+    assert chosen_dir("hdfs://x/y/", "spark://a:1") == "hdfs://x/y" and chosen_dir(None, "local[4]").endswith("emberline-checkpoints")
+    with pytest.raises(RuntimeError):
+        chosen_dir(None, "spark://a:1")
