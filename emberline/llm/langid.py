@@ -185,7 +185,9 @@ def language_digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents (all their columns) whose language the model accepts."""
+    """The documents (all their columns) whose language the model accepts. A model that learned no language judges none: all stay."""
+    if not model.langs:
+        return docs
     small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -37,6 +37,7 @@ from emberline.llm.common import buckets_for, mix, runs, slim, text_bytes
 WINDOW = 50
 CHUNK = 1 << 16
 FLUSH = 1 << 20  # windows that are settled together
+MOST_PARTITIONS = 1 << 15
 Q = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd multipliers
 POWERS = [np.multiply.accumulate(np.array([1] + [q] * CHUNK, np.uint64)) for q in Q]
 INVERSES = [np.multiply.accumulate(np.array([1] + [pow(q, -1, 1 << 64)] * CHUNK, np.uint64)) for q in Q]
@@ -251,8 +252,9 @@ def _windows(window: int, n_buckets: int, flush: int):
     return f
 
 
-def _by_bucket(rows: DataFrame, parts: int) -> DataFrame:
-    replies = rows.groupBy("bucket").applyInArrow(_met(parts), REPLIES)
+def _by_bucket(rows: DataFrame, parts: int, n_buckets: int) -> DataFrame:
+    """Buckets are dealt to as many partitions, whatever the session's number, so that a task reads a few of them at any size."""
+    replies = rows.repartition(min(n_buckets, MOST_PARTITIONS), "bucket").groupBy("bucket").applyInArrow(_met(parts), REPLIES)
     return replies.groupBy("flush").applyInArrow(_gathered, RANGES).groupBy("doc_id").agg(F.collect_list("ranges").alias("ranges"))
 
 
@@ -261,9 +263,9 @@ def repeated_windows(texts: DataFrame, docs: DataFrame, n_buckets: int, window:
 
     texts are the documents (doc_id, text) dealt out by doc_id, docs the same as they are read.
     """
-    anchors = _by_bucket(docs.mapInArrow(_anchors(window // 2, n_buckets, flush), ROWS), 1)
+    anchors = _by_bucket(docs.mapInArrow(_anchors(window // 2, n_buckets, flush), ROWS), 1, n_buckets)
     near = texts.join(anchors, "doc_id").select("doc_id", "text", "ranges")
-    return _by_bucket(near.mapInArrow(_windows(window, n_buckets, flush), ROWS), 2)
+    return _by_bucket(near.mapInArrow(_windows(window, n_buckets, flush), ROWS), 2, n_buckets)
 
 
 def kept_words(text: bytes, ranges: list[bytes], window: int = WINDOW) -> tuple[list[bytes], int]:

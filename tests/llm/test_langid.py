@@ -61,3 +61,22 @@ def test_filter_keeps_columns_and_rejects(spark):
 def test_tiny_training_sets(n):
     model = langid.train(["abc"] * n, ["x"] * n)
     assert langid.predict(model, "abc")[0] == ("x" if n else "und")
+
+
+def test_documents_stay_where_no_language_was_learned(spark):
+    docs = spark.createDataFrame([(1, "abc", None), (2, None, None)], "doc_id long, text string, lang string")
+    assert langid.keep_identified(docs, langid.fit(docs)).count() == 2
+
+
+def test_scores_against_a_plain_softmax():
+    import math
+
+    import numpy as np
+
+    model = langid.train(["lorka temri vosna"] * 20 + ["ñuez ciónar jaque"] * 20, ["aa"] * 20 + ["bb"] * 20, bits=8, dim=4, epochs=3)
+    text = "temri ciónar lork"
+    ids = np.concatenate(list(langid.subwords(text, 8)))
+    z = [sum(float(model.scores[i, k]) for i in ids) / len(ids) + float(model.bias[k]) for k in range(2)]
+    e = [math.exp(v / model.temperature) for v in z]
+    lang, score, _ = langid.predict(model, text)
+    assert abs(score - max(e) / sum(e)) < 1e-6 and lang == model.langs[e.index(max(e))]

@@ -56,3 +56,13 @@ def test_pieces_give_what_the_whole_gives(monkeypatch):
 def test_texts_of_one_document_are_not_its_inputs():
     model = quality.train(["a b", "c d"] * 20, [1, 0] * 20)
     assert quality.score(model, b"a b") > 0.5 > quality.score(model, b"c d")
+
+
+def test_score_against_a_plain_dot_product():
+    import math
+
+    model = quality.train(["good words here", "bad bad bad !!"] * 10, [1, 0] * 10, bits=10)
+    text = "good bad words !! words"
+    buckets = [int(i) for ids in quality.ngrams(text.encode(), 10) for i in ids]
+    z = sum(float(model.weights[i]) for i in buckets) * model.scale / len(buckets) + model.bias
+    assert abs(quality.score(model, text.encode()) - 1 / (1 + math.exp(-z))) < 1e-9
