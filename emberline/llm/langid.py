@@ -191,8 +191,9 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
     small_batches(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("boolean")
-    def accepted(texts):
-        return texts.map(lambda t: predict(shared.value, t)[2])
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            yield batch.filter(pa.array([predict(shared.value, t.as_py())[2] for t in batch.column(at)], pa.bool_()))
 
-    return docs.where(accepted(F.coalesce(F.col("text"), F.lit(""))))
+    return docs.mapInArrow(f, docs.schema)

@@ -167,12 +167,23 @@ def keep_lines(text: str, bitmap: bytes) -> str:
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """Documents (all their columns) with text cut to the kept lines. A document without a bitmap, or with nothing to drop, stays as it is."""
+    """Documents (all their columns) with text cut to the kept lines; n_chars, if there is one, follows the text. A document without a bitmap, or with nothing to drop, stays as it is."""
     change = bitmaps.where("n_dropped > 0").select(F.col("doc_id").alias("__id"), F.col("keep_bitmap").alias("__bitmap"))
-    kept = F.pandas_udf(lambda t, b: t.where(b.isna(), [keep_lines(x or "", y) if y is not None else x for x, y in zip(t, b, strict=True)]), "string")
-    joined = docs.alias("d").join(change, F.col("d.doc_id") == F.col("__id"), "left")
-    new = F.when(F.col("__id").isNull(), F.col("d.text")).otherwise(kept(F.col("d.text"), F.col("__bitmap")))
-    return joined.select(*[(new if c == "text" else F.length(new).cast("long") if c == "n_chars" else F.col(f"d.`{c}`")).alias(c) for c in docs.columns])
+    joined = docs.alias("d").join(change, F.col("d.doc_id") == F.col("__id"), "left").select("d.*", "__bitmap")
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            maps = columns.pop("__bitmap")
+            texts = columns["text"].to_pylist()
+            for k in np.flatnonzero(maps.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                texts[k] = keep_lines(texts[k] or "", maps[k].as_py())
+            columns["text"] = pa.array(texts, columns["text"].type)
+            if "n_chars" in columns:
+                columns["n_chars"] = pa.array([None if t is None else len(t) for t in texts], columns["n_chars"].type)
+            yield pa.record_batch(list(columns.values()), names=list(columns))
+
+    return joined.mapInArrow(f, docs.schema)
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

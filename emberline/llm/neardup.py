@@ -50,7 +50,7 @@ MARKS = "doc_id long, d1 long, d2 long, fp long, sketch binary, keys array<long>
 MEET = "key long, node long"
 
 
-def min_hashes(own: np.ndarray, block: int = 1 << 12) -> np.ndarray:
+def min_hashes(own: np.ndarray, block: int = 1 << 10) -> np.ndarray:
     """The smallest of each of VALUES hashes over a set of hashes."""
     return np.min([(own[k : k + block, None] * _ODD + _ADD).min(0) for k in range(0, len(own), block)], axis=0)
 
@@ -129,7 +129,7 @@ def _columns(rows: pa.Table, *names: str) -> list[np.ndarray]:
     return [rows[n].combine_chunks().to_numpy(zero_copy_only=False) for n in names]
 
 
-def _closest(radius: int, block: int = 512):
+def _closest(radius: int, block: int = 128):
     """For each member of each run the closest other member within radius (a, b, d); of equally close ones the smallest."""
 
     def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -159,7 +159,7 @@ def _closest(radius: int, block: int = 512):
     return lambda batches: whole_runs(batches, solve)
 
 
-def _across(radius: int, cap: int, block: int = 512):
+def _across(radius: int, cap: int, block: int = 128):
     """Pairs within radius of different components: of each two components in a run (and block of it) the `cap` closest; more: some were left."""
 
     def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
