@@ -1,3 +1,4 @@
+import os
 import random
 import re
 from collections import Counter
@@ -67,7 +68,7 @@ def test_against_brute_force(spark, small):
     docs, items = corpus()
     df = spark.createDataFrame([(i, t, 7, "clash") for i, t in docs] + [(None, items[1][1], 1, "x"), (105, docs[11][1], 7, "again")], DOCS).repartition(4)
     bench = spark.createDataFrame([(j, b, "clash") for j, b in items], ITEMS)
-    sizes = {"seeds_per_block": 10, "few_docs": 0} if small else {}
+    sizes = {"seeds_per_block": 60, "few_docs": 0} if small else {}
     out = decontam.contaminated(df, bench, **sizes).collect()
     want = brute(docs, [x for x in items if x[0] is not None])
     got = {(r["doc_id"], r["item_id"]): (round(r["similarity"], 9), r["window_start"]) for r in out}
@@ -147,6 +148,7 @@ def test_wide_counters(spark):
     assert r["a"] == r["b"]
 
 
+@pytest.mark.skipif("EMBERLINE_LONG" not in os.environ, reason="takes minutes")
 def test_long_items(spark):
     """Items of 5,000 and 70,000 words, the longer beyond what 16-bit counters hold."""
     rng = random.Random(21)
