@@ -115,7 +115,7 @@ def _line(spans: Column) -> Column:
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
-    """The contract's rows: counts by base kind, base_sha256 and spans."""
+    """The contract's rows: counts by base kind, base_sha256 and spans; and the spans' scores, in the same order, which context words raise."""
     found = find_pii(docs)
     spans = F.col("spans")
 
@@ -123,4 +123,5 @@ def pii_digest(docs: DataFrame) -> DataFrame:
         return F.size(F.filter(spans, lambda x: x["rank"] == rank)).cast("long").alias(f"n_{KINDS[rank][0]}")
 
     base = _line(F.filter(spans, lambda x: x["rank"] < BASE))
-    return found.select("doc_id", *map(count, range(BASE)), F.sha2(base, 256).alias("base_sha256"), _line(spans).alias("spans"))
+    scores = F.array_join(F.transform(spans, lambda x: F.round(x["score"], 2).cast("string")), ",").alias("scores")
+    return found.select("doc_id", *map(count, range(BASE)), F.sha2(base, 256).alias("base_sha256"), _line(spans).alias("spans"), scores)

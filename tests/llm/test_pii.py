@@ -42,8 +42,11 @@ TEXTS = [
 def test_against_the_plain_patterns(spark):
     docs = spark.createDataFrame([(i, t, "clash", "clash") for i, t in enumerate(TEXTS)] + [(None, "a@b.c", None, None)], SCHEMA).repartition(3)
     out = pii.pii_digest(docs).collect()
-    got = {r["doc_id"]: tuple(r)[1:] for r in out}
-    assert len(out) == len(TEXTS)
+    got = {r["doc_id"]: tuple(r)[1:-1] for r in out}
+    assert len(out) == len(TEXTS) and out[0].__fields__[-1] == "scores"
+    for r in out:  # a score for each span
+        scores = [float(x) for x in r["scores"].split(",") if x]
+        assert len(scores) == len([x for x in r["spans"].split(",") if x]) and all(0.5 <= x <= 1 for x in scores)
     for i, t in enumerate(TEXTS):
         assert got[i] == brute(t), (i, (t or "")[:80])
 
@@ -56,7 +59,7 @@ def test_context_raises_the_score(spark):
 
 def test_documents_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    got = {r["doc_id"]: tuple(r)[1:] for r in pii.pii_digest(docs).collect()}
+    got = {r["doc_id"]: tuple(r)[1:-1] for r in pii.pii_digest(docs).collect()}
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     assert got == {i: brute(t) for i, t in texts.items()}
 
