@@ -62,3 +62,9 @@ def test_thresholds_and_own_templates(spark):
 
 def test_empty_table(spark):
     assert licenses.license_scan(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_many_anchor_lines():
+    matcher = licenses.Matcher(templates(), licenses.THRESHOLD)
+    assert list(matcher.units("the software\n\n" * 2000)) == []
+    assert {u[2] for u in matcher.units("the software\n\n" * 500 + TEXTS["ISC"].replace(". ", ".\n"))} == {"ISC"}
