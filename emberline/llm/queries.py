@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from emberline.llm import decontam, fingerprints, langid, licenses, lines, packing, pii, quality, simhash, substrings
+from emberline.llm import audit, decontam, fingerprints, langid, licenses, lines, negatives, packing, pieces, pii, quality, simhash, substrings
 from emberline.session import table
 
 
@@ -51,10 +51,22 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.language_digest(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.pieces_digest(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_packing, op2_license_scan, op3_fingerprints, op4_decontamination, op5_substring_dedup, op6_simhash_near_dedup, op7_quality_classifier, op8_line_dedup, op9_pii, op10_language_id)
+    own = (op1_packing, op2_license_scan, op3_fingerprints, op4_decontamination, op5_substring_dedup, op6_simhash_near_dedup, op7_quality_classifier, op8_line_dedup, op9_pii, op10_language_id, op11_filter_audit, op12_sentencepiece, op13_hard_negatives)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.oracle(), "op8_line_dedup": lines.ORACLE}
+    return {"op2_license_scan": licenses.oracle(), "op8_line_dedup": lines.ORACLE, "op11_filter_audit": audit.ORACLE, "op13_hard_negatives": negatives.ORACLE}
