@@ -15,7 +15,19 @@ REPLACEMENTS = (
     (r"(?i)\bg/t\b", "г/т"),
     (r"(?i)\bt/h\b|\btph\b", "т/ч"),
 )
-NUMBER = r"(?i)(?:pH\s*)?\d+(?:[.,]\d+)?\s*(?:%|ppm|°c|℃|g/t|kg/t|t/h|tph|µm|μm|um|mm)"
+UNITS = "%|г/т|кг/т|g/t|kg/t|мкм|µm|μm|um|мм|mm|т/ч|t/h|tph|ppm|°c|°с|℃"
+ACIDITY = "pH|рН"
+
+NUMBER = r"\p{Nd}+(?:[,.]\p{Nd}+)?(?:\s*[-–—]\s*\p{Nd}+(?:[,.]\p{Nd}+)?)?"  # a value or a range
+WORD = r"[\p{L}\p{N}_/]"
+MEASURED = rf"(?iu)(?<!{WORD})(?:(?:{ACIDITY})\s*)?{NUMBER}\s?(?:{UNITS})(?!{WORD})|(?<!{WORD})(?:{ACIDITY})\s?{NUMBER}(?!{WORD})"
+BARE = rf"(?iu)^\s*(?:[~≈<>≤≥±]\s*)?(?:(?:{ACIDITY})\s*)?{NUMBER}(?:\s?(?:{UNITS}))?\s*$"
+SENTENCE_END = r"(?<=[.!?。;])\s+|\n+"
+
+
+def sentences(text: Column) -> Column:
+    """Sentences with single spaces, empty ones aside."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), SENTENCE_END), lambda s: F.trim(F.regexp_replace(s, r"\s+", " "))), lambda s: s != "")
 
 
 def clean_value(value: Column) -> Column:
@@ -47,20 +59,27 @@ def parameter_label(value: Column, context: Column) -> Column:
 
 
 def low_signal_label(kind: Column, label: Column) -> Column:
-    """A metric, parameter, property, concept or observation whose label is a number alone, with a unit or not."""
-    bare = clean_value(label).rlike(r"^[<>≤≥~±]?\s*\d+(?:\.\d+)?\s*(?:%|[\p{L}°/µμ]{0,5})$")
-    return F.lower(F.trim(kind)).isin("metric", "parameter", "property", "concept", "observation") & bare
+    """A metric, parameter, property, concept or observation whose label is a number or range alone, with a known unit or not."""
+    return F.lower(F.trim(kind)).isin("metric", "parameter", "property", "concept", "observation") & clean_value(label).rlike(BARE)
 
 
-def parameter_groups(sentences: DataFrame, most: int = 12, examples: int = 8) -> DataFrame:
-    """doc_id, label, total, examples: of each document the labels of the most values (ties by label), each with its most frequent values.
+def parameter_groups(docs: DataFrame, most: int = 12, examples: int = 8, contexts: int = 3, width: int = 220) -> DataFrame:
+    """doc_id, label, total, examples, contexts: of each document the labels of the most values (ties by label), each with its most frequent values and its first sentences.
 
-    sentences: doc_id, sentence. Values are counted in the shuffle by (document, label, value) before any group is ordered.
+    docs: doc_id, text, one row a document; whole texts are read. Values are counted in the shuffle by (document, label, value)
+    before any group is ordered. A context is a sentence's first `width` characters; a longer sentence stands once for each value.
     """
-    found = sentences.select("doc_id", "sentence", F.explode(F.regexp_extract_all("sentence", F.lit(NUMBER), F.lit(0))).alias("raw"))
-    named = found.select("doc_id", clean_value(F.col("raw")).alias("value"), "sentence").withColumn("label", parameter_label(F.col("value"), F.col("sentence"))).where("label IS NOT NULL")
-    counts = named.groupBy("doc_id", "label", "value").agg(F.count(F.lit(1)).alias("n"))
-    ranked = counts.withColumn("__rn", F.row_number().over(Window.partitionBy("doc_id", "label").orderBy(F.col("n").desc(), "value")))
-    groups = ranked.groupBy("doc_id", "label").agg(F.sum("n").alias("total"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("__rn") <= examples, F.struct("__rn", "value")))), lambda x: x["value"]), "|").alias("examples"))
-    top = groups.withColumn("__rn", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("total").desc(), "label")))
-    return top.where(F.col("__rn") <= most).drop("__rn")
+    each = docs.select("doc_id", F.posexplode(sentences(F.col("text"))).alias("at", "sentence"))
+    found = each.select("doc_id", "at", "sentence", F.posexplode(F.regexp_extract_all("sentence", F.lit(MEASURED), F.lit(0))).alias("k", "raw"))
+    named = found.select("doc_id", "at", "k", "sentence", clean_value(F.col("raw")).alias("value")).withColumn("label", parameter_label(F.col("value"), F.col("sentence"))).where("label IS NOT NULL")
+    key = ["doc_id", "label"]
+    counts = named.groupBy(*key, "value").agg(F.count(F.lit(1)).alias("n"))
+    ranked = counts.withColumn("__rn", F.row_number().over(Window.partitionBy(*key).orderBy(F.col("n").desc(), "value")))
+    listed = lambda name: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__rn", name))), lambda x: x[name]), "|")
+    groups = ranked.groupBy(*key).agg(F.sum("n").alias("total"))
+    shown = ranked.where(F.col("__rn") <= examples).groupBy(*key).agg(listed("value").alias("examples"))
+    several = F.when(F.length("sentence") > width, F.struct("at", "k"))
+    lines = named.groupBy(*key, "sentence", several.alias("__own")).agg(F.min(F.struct("at", "k")).alias("first")).select(*key, F.substr("sentence", F.lit(1), F.lit(width)).alias("line"), "first")
+    lines = lines.withColumn("__rn", F.row_number().over(Window.partitionBy(*key).orderBy("first"))).where(F.col("__rn") <= contexts)
+    top = groups.withColumn("__rn", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("total").desc(), "label"))).where(F.col("__rn") <= most).drop("__rn")
+    return top.join(shown, key).join(lines.groupBy(*key).agg(listed("line").alias("contexts")), key)

@@ -78,7 +78,7 @@ TERMS = "CASE p_size % 5 WHEN 0 THEN 'clinical ' || lower(p_name) WHEN 1 THEN 'l
 
 @query(f"SELECT p_partkey, regexp_matches(t, 'clinical|диагност') AS health, regexp_matches(t, '\\b(language|model|ai)\\b') AS ml FROM (SELECT p_partkey, lower({TERMS}) AS t FROM part)")
 def topic_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = F.array(F.expr(TERMS.replace("||", "||")))
+    terms = F.array(F.expr(TERMS))
     return table(spark, sf_dir, "part").select("p_partkey", gated.is_health_topic(terms).alias("health"), gated.is_ml_topic(terms).alias("ml"))
 
 
@@ -133,23 +133,41 @@ def phrase_in_work(spark: SparkSession, sf_dir: str) -> DataFrame:
 SENTENCE = "'Recovery of ' || (l_quantity::INT) || ',5 % at ' || (l_linenumber + 20) || ' °C and ' || (l_suppkey % 4) || ' g/t, moisture ' || (l_partkey % 3) || '%'"
 
 
-@query("""WITH v AS (SELECT l_orderkey AS doc_id, unnest(['Расход реагента / дозировка', 'Температура', 'Извлечение / выход', 'Извлечение / выход']) AS label,
-unnest([(l_suppkey % 4) || ' г/т', (l_linenumber + 20) || ' °C', (l_quantity::INT) || '.5 %', (l_partkey % 3) || '%']) AS value FROM lineitem),
-n AS (SELECT doc_id, label, value, count(*) AS n FROM v GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, label ORDER BY n DESC, value) AS rn FROM n)
-SELECT doc_id, label, sum(n)::BIGINT AS total, string_agg(value, '|' ORDER BY rn) FILTER (rn <= 8) AS examples FROM r GROUP BY doc_id, label""")
+_TEXT = """concat('Расход ', l_suppkey % 9, ',', l_linenumber, ' г/т, крупность ', l_partkey % 90, ' мкм. Recovery of ', CAST(l_quantity AS INT), ',5 % at ', l_linenumber + 20, ' °C ; pH ', l_linenumber, ',5 was kept! ',
+ 'We saw 3 mmol and 5 umbrellas; moisture ', l_partkey % 3, '-', l_partkey % 3 + 2, ' % of feed', chr(10), chr(10), 'Производительность ', l_partkey % 40, ' т/ч, класс ', l_suppkey % 7, ' мм, частиц ', l_suppkey % 7, ' мм', CASE WHEN l_orderkey % 3 = 0 THEN ' . Again ' ELSE ' or ' END, l_suppkey % 9, ',', l_linenumber, ' g/t , x7 ppm and 8 ppm')"""
+_NUM = r"\d+(?:[,.]\d+)?(?:\s*[-–—]\s*\d+(?:[,.]\d+)?)?"
+_ACID, _OUT = "(?:pH|рН)", r"[^\p{L}\p{N}_/]"
+
+
+@query(rf"""WITH d AS (SELECT l_orderkey * 10 + l_linenumber AS doc_id, {_TEXT} AS text FROM lineitem),
+p AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?。;])\s+', '\1' || chr(10), 'g'), chr(10)) AS parts FROM d),
+s AS (SELECT doc_id, generate_subscripts(parts, 1) AS place, trim(regexp_replace(unnest(parts), '\s+', ' ', 'g')) AS sentence FROM p),
+f AS (SELECT *, regexp_extract_all(' ' || replace(sentence, ' ', '  ') || ' ', '(?i){_OUT}((?:{_ACID}\s*)?{_NUM}\s{{0,2}}(?:{parameters.UNITS})|{_ACID}\s{{0,2}}{_NUM}){_OUT}', 1) AS found FROM s),
+v AS (SELECT doc_id, place, sentence, generate_subscripts(found, 1) AS k, trim(regexp_replace(replace(unnest(found), ',', '.'), '\s+', ' ', 'g')) AS raw FROM f),
+c AS (SELECT *, replace(regexp_replace(raw, '(?i)g/t', 'г/т'), 'mm', 'мм') AS value, lower(sentence) AS near FROM v),
+n AS (SELECT *, CASE WHEN lower(value) LIKE '%ph%' THEN 'pH / кислотность' WHEN value LIKE '%г/т' THEN 'Расход реагента / дозировка' WHEN value LIKE '%мкм' THEN 'Крупность / размер частиц'
+  WHEN value LIKE '%мм' THEN CASE WHEN regexp_matches(near, 'крупн|частиц|зерн|сито|mesh|particle|size|class') THEN 'Крупность / размер частиц' ELSE 'Размер / геометрия' END
+  WHEN value LIKE '%т/ч' THEN 'Производительность / поток' WHEN value LIKE '%ppm' THEN 'Концентрация / ppm' WHEN value LIKE '%°C' THEN 'Температура'
+  WHEN regexp_matches(near, 'извлеч|recovery|yield|выход') THEN 'Извлечение / выход' WHEN regexp_matches(near, 'содерж|grade|массов|доля|концентрат') THEN 'Содержание / массовая доля'
+  WHEN regexp_matches(near, 'влажн|moisture') THEN 'Влажность' ELSE 'Процентный показатель' END AS label FROM c),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, label ORDER BY n DESC, value) AS rn FROM (SELECT doc_id, label, value, count(*) AS n FROM n GROUP BY ALL)),
+l AS (SELECT *, row_number() OVER (PARTITION BY doc_id, label ORDER BY place) AS rn FROM (SELECT DISTINCT doc_id, label, place, sentence FROM n))
+SELECT doc_id, label, sum(n)::BIGINT AS total, string_agg(value, '|' ORDER BY rn) FILTER (rn <= 8) AS examples,
+  (SELECT string_agg(sentence, '|' ORDER BY l.rn) FROM l WHERE l.doc_id = r.doc_id AND l.label = r.label AND l.rn <= 3) AS contexts FROM r GROUP BY doc_id, label""")
 def parameter_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as sentences with measured values."""
-    li = table(spark, sf_dir, "lineitem")
-    whole = lambda x: x.cast("int").cast("string")
-    s = F.concat(F.lit("Recovery of "), whole(c("l_quantity")), F.lit(",5 % at "), whole(c("l_linenumber") + 20), F.lit(" °C and "), whole(c("l_suppkey") % 4), F.lit(" g/t, moisture "), whole(c("l_partkey") % 3), F.lit("%"))
-    return parameters.parameter_groups(li.select(c("l_orderkey").alias("doc_id"), s.alias("sentence")))
+    """Line items as texts of several sentences in two scripts, with units, ranges, acidity and words that only look like units."""
+    docs = spark.sql(f"SELECT l_orderkey * 10 + l_linenumber AS doc_id, {_TEXT} AS text FROM {{lineitem}}", lineitem=table(spark, sf_dir, "lineitem"))
+    return parameters.parameter_groups(docs)
+
+
+_LABEL = "CASE p_partkey % 11 WHEN 0 THEN concat(p_size, ',5') WHEN 1 THEN concat('pH ', p_size, '.5') WHEN 2 THEN concat(p_size, '-', p_size + 5, ' %') WHEN 3 THEN concat('≈ ', p_size, ' мм') WHEN 4 THEN concat(p_size, ' apple') WHEN 5 THEN concat(p_size, ' years') WHEN 6 THEN concat('width ', p_size) WHEN 7 THEN concat('≥ ', p_size, ' G/T') WHEN 8 THEN concat(p_size, ' – ', p_size, ',25 °С') WHEN 9 THEN concat(' рН', p_size) ELSE concat(p_size, ' mm wide') END"
 
 
-@query("SELECT p_partkey, p_size % 2 = 0 AS low FROM part")
+@query(rf"""SELECT p_partkey, p_size % 5 > 0 AND regexp_full_match(replace(trim({_LABEL}), ',', '.'), '(?i)\s*(?:[~≈<>≤≥±]\s*)?(?:{_ACID}\s*)?{_NUM}(?:\s?(?:{parameters.UNITS}))?\s*') AS low FROM part""")
 def low_signal_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part")
-    label = F.when(c("p_size") % 2 == 0, F.concat(c("p_size").cast("string"), F.lit(",5 mm"))).otherwise(F.concat(F.lit("width "), c("p_size").cast("string")))
-    return p.select("p_partkey", parameters.low_signal_label(F.lit(" Metric"), label).alias("low"))
+    """Parts as nodes: numbers, ranges, acidity and signs against words that follow a number."""
+    p = spark.sql(f"SELECT p_partkey, {_LABEL} AS label, CASE WHEN p_size % 5 > 0 THEN ' Metric' ELSE 'Process' END AS kind FROM {{part}}", part=table(spark, sf_dir, "part"))
+    return p.select("p_partkey", parameters.low_signal_label(c("kind"), c("label")).alias("low"))
 
 
 @query("""WITH r AS (SELECT l_orderkey AS id, 'm' || l_linenumber AS model, (l_partkey % 5)::INT AS events, (l_partkey % 5 - l_partkey % 2 * (l_partkey % 5 > 0)::INT)::INT AS ok, (l_suppkey % 3)::INT AS missed, (l_quantity % 11)::DOUBLE AS overall FROM lineitem),

@@ -55,8 +55,16 @@ def register(name: str, channel: str, date_support: str, **more) -> Callable:
     return add
 
 
+def registered() -> dict[str, Connector]:
+    """All connectors, whatever was imported before."""
+    from emberline.sources import gated, papers  # noqa: F401
+
+    return REGISTRY
+
+
 def select(exclude: set[str] = frozenset(), channel: str | None = None, only: set[str] | None = None, default_only: bool = True, historical: bool = False) -> list[Connector]:
-    """Connectors by name; historical runs leave out those that can't look back."""
+    """Connectors by name, of all modules; historical runs leave out those that can't look back."""
+    registered()
     out = [c for c in REGISTRY.values() if c.name not in exclude and (channel is None or c.channel == channel) and (only is None or c.name in only)]
     return [c for c in out if (c.default_on or not default_only or only is not None) and (c.historical or not historical)]
 

@@ -156,7 +156,11 @@ def test_connectors(spark):
         connectors.register("rss", "market", "post")(lambda b: b)
     with pytest.raises(ValueError):
         connectors.Connector("x", "nowhere", "post", lambda b: b)
-    assert "github" not in {c.name for c in connectors.select(historical=True)} and {c.name for c in connectors.select(channel="market")} == {"rss"}
+    assert {c.name for c in connectors.select(channel="market")} == {"bing_news", "clinicaltrials", "gdelt", "habr", "openfda_510k", "openfda_drugs", "rss"}
+    assert {c.name for c in connectors.select(historical=True)} == {
+        "arxiv", "clinicaltrials", "cordis", "crossref", "google_patents", "grants_gov", "habr", "nih", "nsf", "openalex", "openfda_510k", "openfda_drugs", "rss", "sec_edgar", "sedia", "ted",
+        "usaspending", "venture_news", "yc",
+    }
     body = '{"results": [{"project_title": "T", "award_amount": 5, "core_project_num": "P1", "award_notice_date": "2024-02-03T00:00:00"}, {"project_title": "Late", "core_project_num": "P2", "award_notice_date": "2025-01-01"}, {"project_title": "Undated", "core_project_num": "P3"}]}'
     df = spark.createDataFrame([(body,), ("not json",), (None,)], "body string")
     got = connectors.REGISTRY["nih"].run(df, date(2024, 6, 1)).collect()
