@@ -12,11 +12,11 @@ Two documents are linked if their sets of five-word shingles (words as in simhas
    0.8 differs in at most SKETCH_RADIUS of them but for about 1e-4.
 
 Nothing is emitted for all pairs of a row. First each document is set against the closest document it meets; the verified
-pairs make components, and only documents of different components are compared after that: of each two components the
-closest pairs of a row first, sixty-four times as many each round, until every pair the index holds is verified or within a
-component. Rows are range-partitioned by key and node, so a hot key spreads over partitions; crowded rows are cut into
-blocks (simhash.deal). Equal sets are one node from the start. Only texts with a candidate move, to the partner that most others are set against, in chunks of at most
-CHUNK documents.
+pairs make components. Members of a row that may still link to another component then meet with their sets of shingle hashes
+(64 bits); pairs are compared in the row, each in the first band it shares, and a row gives a forest of links at most. A crowd of
+documents that are alike but not near copies costs comparisons, no rows. Rows are range-partitioned by key and node, so a hot
+key spreads over partitions; crowded rows are cut into blocks (simhash.deal). Equal sets are one node from the start. Only texts with a candidate move: to the partner that most others are set
+against, in chunks of at most CHUNK documents, and as sets to rows that aren't settled.
 
 Null text counts as empty, texts without words are equal to each other, rows without doc_id are left out. Repeated rows
 of a doc_id are one document; of different texts under one id each is compared, and they are in one component. An empty
@@ -159,29 +159,76 @@ def _closest(radius: int, block: int = 128):
     return lambda batches: whole_runs(batches, solve)
 
 
-def _across(radius: int, cap: int, block: int = 128):
-    """Pairs within radius of different components: of each two components in a run (and block of it) the `cap` closest; more: some were left."""
+def _unsettled(radius: int, block: int = 128):
+    """The members of runs that have one of another component within radius: no pairs."""
 
     def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         key, part, node, group = _columns(rows, "key", "part", "node", "component")
         sketch = _sketches(rows)
         at = runs(key, part)
+        stays = np.zeros(len(key), bool)
         for k in np.flatnonzero((np.diff(at) > 1) & (np.minimum.reduceat(group, at[:-1]) != np.maximum.reduceat(group, at[:-1]))):
             begin, end = at[k], at[k + 1]
             for i in range(begin, end, block):
                 own = slice(i, min(i + block, end))
-                dist = _distances(sketch, own, slice(i, end))
-                x, y = np.nonzero((dist <= radius) & (group[own, None] != group[None, i:end]))
-                keep = x < y
-                x, y = x[keep], y[keep]
-                if not len(x):
+                near = (_distances(sketch, own, slice(i, end)) <= radius) & (group[own, None] != group[None, i:end])
+                stays[own] |= near.any(1)
+                stays[i:end] |= near.any(0)
+        yield pa.record_batch([pa.array(x[stays]) for x in (key, node, group)], names=["key", "node", "component"])
+
+    return lambda batches: whole_runs(batches, solve)
+
+
+def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
+    """node, own: the sorted 64-bit hashes of a text's set of shingles."""
+
+    def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.unique(np.frombuffer(b"".join([xxhash.xxh64_digest(x, 42) for x in shingles(t.as_buffer().to_pybytes(), words) or [b""]]), np.uint64)).tobytes() for t in batch["text"]]
+            yield pa.record_batch([batch["doc_id"], pa.array(own, pa.binary())], names=["node", "own"])
+
+    return texts.select("doc_id", "text").mapInArrow(f, "node long, own binary")
+
+
+def _settled(radius: int, similarity: float):
+    """Over runs of (key, part): links (a, b) that join members of different components, verified on their sets; a forest, not all pairs.
+
+    A pair is compared in the run of the first band it shares. Where a run holds two blocks, pairs within a block are another part's.
+    """
+
+    def solve(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, part, block, node, group = _columns(rows, "key", "part", "block", "node", "component")
+        sketch, at = _sketches(rows), runs(key, part)
+        bands = rows["keys"].combine_chunks().values.to_numpy().reshape(-1, BANDS)
+        sets = [np.frombuffer(x, np.uint64) for x in rows["own"].to_pylist()]
+        size = np.array([len(x) for x in sets])
+        a, b = [], []
+        for k in np.flatnonzero(np.diff(at) > 1):
+            begin, end = at[k], at[k + 1]
+            now = group[begin:end].copy()
+            two = (block[begin:end] != block[begin]).any()
+            for i in range(begin, end - 1):
+                rest = slice(i + 1, end)
+                near = (now[i + 1 - begin :] != now[i - begin]) & (np.minimum(size[i], size[rest]) >= similarity * np.maximum(size[i], size[rest]) - 1e-9)
+                if two:
+                    near &= block[rest] != block[i]
+                j = i + 1 + np.flatnonzero(near)
+                if len(j):
+                    j = j[(_distance(sketch[None, i], sketch[j]) <= radius)]
+                if len(j):
+                    same = bands[i] == bands[j]
+                    j = j[bands[i][same.argmax(1)] == key[i]]
+                if not len(j):
                     continue
-                low, high = np.minimum(group[i + x], group[i + y]), np.maximum(group[i + x], group[i + y])
-                order = np.lexsort((dist[x, y], high, low))
-                starts = runs(low[order], high[order])
-                rank = np.arange(len(order)) - np.repeat(starts[:-1], np.diff(starts))
-                take = order[rank < cap]
-                yield pa.record_batch([pa.array(node[i + x[take]]), pa.array(node[i + y[take]]), pa.array(np.full(len(take), len(take) < len(order)))], names=["a", "b", "more"])
+                flat = np.concatenate([sets[y] for y in j.tolist()])
+                spot = np.minimum(np.searchsorted(sets[i], flat), size[i] - 1)
+                both = np.add.reduceat(sets[i][spot] == flat, np.concatenate([[0], np.cumsum(size[j])[:-1]]), dtype=np.int64)
+                for y in j[both >= similarity * (size[i] + size[j] - both) - 1e-9].tolist():
+                    if now[y - begin] != now[i - begin]:
+                        a.append(node[i])
+                        b.append(node[y])
+                        now[now == now[y - begin]] = now[i - begin]
+        yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return lambda batches: whole_runs(batches, solve)
 
@@ -220,6 +267,26 @@ def _unordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
+def _settle(left: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float, limit: int, run_bytes: int = 64 << 20) -> DataFrame:
+    """a, b: links between components among the rows (key, node, component) that may hold some.
+
+    The sets travel to the rows, and pairs are compared where they lie: what is written is a forest a run. A run of over `limit`
+    members, fewer where sets are large, is cut into blocks, and each two blocks are a part.
+    """
+    ids, _ = materialize(left.select(F.col("node").alias("doc_id")).distinct(), "unsettled-ids")
+    sets, _ = materialize(shingle_sets(texts.join(ids, "doc_id", "left_semi"), words), "shingle-sets")
+    largest = sets.agg(F.max(F.octet_length("own"))).first()[0] or 8
+    limit = max(32, min(limit, run_bytes // largest))
+    counts = left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) * 2 / limit).alias("blocks"))
+    whole = F.col("blocks") <= 2
+    block = F.when(whole, F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.col("blocks"))).cast("long")
+    dealt = left.join(counts, "key").withColumn("block", block)
+    meets = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda i: F.least("block", i) * F.col("blocks") + F.greatest("block", i))
+    dealt = dealt.select("key", F.explode(F.when(whole, F.array(F.lit(0).cast("long"))).otherwise(meets)).alias("part"), "block", "node", "component")
+    rows = dealt.join(nodes.select("node", "sketch", "keys"), "node").join(sets, "node")
+    return materialize(rows.repartition("key", "part").sortWithinPartitions("key", "part", "node").mapInArrow(_settled(SKETCH_RADIUS, similarity), LINKS), "links")[0]
+
+
 def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 3, limit: int = 1 << 13, few: int = 1 << 17, row_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, component_id (the smallest doc_id reachable) for each doc_id."""
     marks, _ = materialize(marks_of(docs, words), "marks")
@@ -245,22 +312,12 @@ def similar_components(docs: DataFrame, words: int = 5, similarity: float = 0.8,
     several, _ = materialize(several, "documents-of-nodes")
     apart = several.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("last")).where("b <> last").select("doc_id", "b")
     sure = [verified(texts, tried, words, similarity), several.join(apart, "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")]
-    cap, found = 64, None
-    while True:
-        if found is None:
-            found = connected_components(reduce(DataFrame.unionByName, sure)).withColumnRenamed("node", "__node")
-        named = meet.join(found, F.col("node") == F.col("__node"), "left").select("key", "part", "node", "sketch", F.coalesce("component", "node").alias("component"))
-        across, _ = materialize(met(named, _across(SKETCH_RADIUS, cap), "a long, b long, more boolean"), "pairs")
-        new, _ = materialize(_unordered(across).join(tried, ["a", "b"], "left_anti"), "candidates")
-        left = new.count()
-        if not left and not across.where("more").head(1):
-            break
-        if left:
-            more = verified(texts, new, words, similarity)
-            tried = tried.unionByName(new)
-            if more.head(1):
-                sure, found = [*sure, more], None
-        cap *= 64
+    found = connected_components(reduce(DataFrame.unionByName, sure)).withColumnRenamed("node", "__node")
+    named = meet.join(found, F.col("node") == F.col("__node"), "left").select("key", "part", "node", "sketch", F.coalesce("component", "node").alias("component"))
+    left, _ = materialize(met(named, _unsettled(SKETCH_RADIUS), "key long, node long, component long"), "unsettled")
+    if left.head(1):
+        sure.append(_settle(left.distinct(), nodes, texts, words, similarity, limit))
+        found = connected_components(reduce(DataFrame.unionByName, sure)).withColumnRenamed("node", "__node")
     named = several.join(found, F.col("node") == F.col("__node"), "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
     return named.distinct()
 

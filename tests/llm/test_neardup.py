@@ -83,3 +83,13 @@ def test_keep_one_of_each(spark):
     docs = spark.createDataFrame([(5, " ".join(base), "x", 1), (3, " ".join(near), "x", 1), (9, " ".join(base), "x", 1), (2, " ".join(other), None, None)], SCHEMA)
     kept = neardup.keep_one_of_each(docs)
     assert sorted(r["doc_id"] for r in kept.collect()) == [2, 3] and kept.columns == docs.columns
+
+
+def test_a_crowd_in_blocks_equals_brute_force(spark):
+    """Pages of one template, most of them below the limit to each other, cut into blocks of 32."""
+    rng = random.Random(23)
+    base = [f"t{k}" for k in range(120)]
+    rows = [(k, edited(rng, base, rng.randrange(2, 22), True)) for k in range(150)]
+    docs = spark.createDataFrame([(i, t, None, None) for i, t in rows], SCHEMA).repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.similar_components(docs, limit=40).collect()}
+    assert got == brute_similar(rows) and 1 < len(set(got.values())) < 150
