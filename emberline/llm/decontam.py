@@ -5,23 +5,22 @@ of an item that has fewer), and a shingle's weight is how often it occurs. A doc
 window of as many words as the item has (or the whole document, if shorter) has a weighted similarity to it
 (sum of smaller weights over sum of larger ones) of at least `similarity`.
 
-1. Seeds. A window that similar misses at most r of the item's m shingles, so among any r + 1 of them it has
-   one. The r + 1 that fewest items share (ties by hash) are the item's seeds. Documents' shingles are joined to the
-   seeds, and where they meet, every window of the item's size that holds the meeting shingle is asked for, wherever the
-   item has it: similarity is over bags, so a window may hold the item's parts in another order. A window without any of
-   the seeds' hashes misses all r + 1 and can't be similar, so none is lost. What a document is asked for is
-   merged, item by item, before windows are cut. It is the seeds that keep work small: a window meets only items of
-   which it holds a seed.
-2. Each such window gets a 64-bit SimHash of its shingles and meets its items in an index of radius + 1 blocks:
-   fingerprints within `radius` bits agree in at least one block. A pair counts at its first equal block only.
-   Distances are completed, then the weighted similarity is worked out from the shingles. At 0.8 fingerprints differ by
-   up to 19 of 64 bits, so blocks are three or four bits wide and alone would tell few items apart.
+1. Which windows are looked at. A window that similar misses at most r of an item's m shingles, so among any r + 1 of them
+   it has one. The r + 1 that fewest items share (ties by hash) are the item's seeds. Documents' shingles are joined to the
+   seeds, and where they meet, every window of that item's size that holds the meeting shingle is looked at, wherever the
+   item has it: similarity is over bags, so a window may hold the item's parts in another order. A window without any
+   seed misses r + 1 of every item's shingles and can't be similar, so none is lost.
+2. Which items a window meets. It gets a 64-bit SimHash of its shingles and is sought in an index of all items of its size:
+   four blocks of 16 bits. Fingerprints within `radius` bits differ by at most a quarter of that in one block at least; the
+   index holds the Hamming ball around each item's block but for one bit, and a window asks for the ball of one bit around its
+   own, so every pair within the radius meets. It is the blocks that find items: a seed says where to look, not for what.
+   Distances are completed, and the weighted similarity of what is left is worked out from the shingles.
 
 Items of any length: counters of fingerprints widen where an item has over 65,535 shingles, windows are cut one by one from the part of
 the document that is asked for, and the similarity takes time in proportion to a window.
 
-Seeds are broadcast in blocks of items with about seeds_per_block seeds each, index rows likewise, so what
-is broadcast has a fixed bound (some 30 MB); a larger benchmark takes more blocks. Documents with a seed are broadcast
+Seeds are broadcast in blocks of items with about seeds_per_block seeds each, the index in blocks of index_rows rows (an item
+has 2,788), so what is broadcast has a fixed bound (some 30 MB); a larger benchmark takes more blocks. Documents with a seed are broadcast
 back to their texts where they are few (at most few_docs), and joined by a shuffle otherwise.
 
 Null texts count as empty, items without words match nothing, rows without doc_id or item_id are left out,
@@ -31,6 +30,8 @@ repeated rows count once, empty tables give an empty result.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
+from math import comb
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,15 +89,38 @@ def _missing(m: Column, similarity: float) -> Column:
     return m - F.ceil(m * similarity - 1e-9).cast("int")
 
 
-def _blocks(radius: int) -> list[tuple[int, int]]:
-    """(first bit, width) of radius + 1 blocks over 64 bits."""
-    n = radius + 1
-    cuts = [64 * k // n for k in range(n + 1)]
-    return [(cuts[k], cuts[k + 1] - cuts[k]) for k in range(n)]
+BLOCKS, BLOCK_BITS = 4, 16
 
 
-def _keys(fp: str, radius: int) -> Column:
-    return F.expr("array(" + ", ".join(f"shiftrightunsigned({fp}, {at}) & {(1 << width) - 1}L" for at, width in _blocks(radius)) + ")")
+def _segments(fp: str) -> Column:
+    return F.expr("array(" + ", ".join(f"shiftrightunsigned({fp}, {BLOCK_BITS * k}) & {(1 << BLOCK_BITS) - 1}L" for k in range(BLOCKS)) + ")")
+
+
+def _ball(value: str, reach: int) -> Column:
+    """All values that differ from a block's in at most `reach` bits."""
+    masks = [sum(1 << b for b in bits) for n in range(reach + 1) for bits in combinations(range(BLOCK_BITS), n)]
+    return F.transform(F.array(*(F.lit(m).cast("long") for m in masks)), lambda m: F.col(value).bitwiseXOR(m))
+
+
+def _table(rows: DataFrame, fp: str, reach: int, *columns: str) -> DataFrame:
+    """block, key and columns: a row for each value of the balls around a fingerprint's blocks."""
+    return rows.select(*columns, F.posexplode(_segments(fp)).alias("block", "value")).select(*columns, "block", F.explode(_ball("value", reach)).alias("key"))
+
+
+def near_items(windows: DataFrame, own: DataFrame, radius: int, index_rows: int = 1 << 20) -> DataFrame:
+    """n_words, fp, item_key: items (n_words, item_key, item_fp) of a window's size whose fingerprints are within radius of the window's (n_words, fp)."""
+    reach = radius // BLOCKS
+    theirs = max(0, reach - 1)
+    per_item = BLOCKS * sum(comb(BLOCK_BITS, k) for k in range(theirs + 1))
+    n = max(1, -(-own.count() * per_item // index_rows))
+    asked = _table(windows.select("n_words", "fp").distinct(), "fp", reach - theirs, "n_words", "fp")
+    part = F.pmod(F.xxhash64("item_key"), F.lit(n))
+    found = []
+    for k in range(n):
+        index = _table(own.where(part == k), "item_fp", theirs, "n_words", "item_key", "item_fp")
+        met = asked.join(F.broadcast(index), ["n_words", "block", "key"])
+        found.append(met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius).select("n_words", "fp", "item_key").distinct())
+    return reduce(DataFrame.unionByName, found)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, radius: int = 19, seeds_per_block: int = 1 << 17, few_docs: int = 1 << 16) -> DataFrame:
@@ -149,26 +173,29 @@ def _scan(docs: DataFrame, own: DataFrame, seeds: DataFrame, width: int, similar
     rows = texts.select("doc_id", F.size("shingles").alias("n"), F.posexplode("shingles").alias("pos", "h"))
     last = F.greatest(F.col("n") + width - 1 - F.col("n_words"), F.lit(0))  # start of the last window of n_words words
     low = F.least(F.greatest(F.col("pos") - F.col("n_words") + width, F.lit(0)), last)
-    hits = rows.join(F.broadcast(seeds), "h").select("doc_id", "item_key", "n_words", F.struct(low.alias("low"), F.least(F.col("pos"), last).alias("high")).alias("hit"))
-    by_item = hits.groupBy("doc_id", "item_key", "n_words").agg(F.array_sort(F.collect_set("hit")).alias("hits"))
-    asked = by_item.select("doc_id", F.struct("item_key", "n_words", _merged(F.col("hits")).alias("ranges")).alias("asked")).groupBy("doc_id").agg(F.collect_list("asked").alias("asked"))
+    hits = rows.join(F.broadcast(seeds), "h").select("doc_id", "n_words", F.struct(low.alias("low"), F.least(F.col("pos"), last).alias("high")).alias("hit"))
+    by_size = hits.groupBy("doc_id", "n_words").agg(F.array_sort(F.collect_set("hit")).alias("hits"))
+    asked = by_size.select("doc_id", F.struct("n_words", _merged(F.col("hits")).alias("ranges")).alias("asked")).groupBy("doc_id").agg(F.collect_list("asked").alias("asked"))
     asked, _ = materialize(asked, "windows")
-    few = asked.count() <= few_docs
-    # the join comes before the shingles: only documents that meet a seed are cut again
-    held = slim(docs).join(F.broadcast(asked) if few else asked, "doc_id").select("doc_id", "asked", shingle_hashes(normal_words(F.col("text")), width).alias("shingles"))
-    ranges = held.select("doc_id", "shingles", F.explode("asked").alias("a")).select("doc_id", "shingles", "a.item_key", "a.n_words", F.explode("a.ranges").alias("r"))
+
+    def cut(wanted: DataFrame) -> DataFrame:
+        """The shingles of the documents named, with wanted's columns: the join comes first, so only these are cut again."""
+        few = wanted.count() <= few_docs
+        held = slim(docs).join(F.broadcast(wanted) if few else wanted, "doc_id")
+        return held.select(*wanted.columns, shingle_hashes(normal_words(F.col("text")), width).alias("shingles"))
+
     m = F.col("n_words") - width + 1
-    parts = ranges.select("doc_id", "item_key", "n_words", "r.low", "r.high", F.slice("shingles", F.col("r.low") + 1, F.col("r.high") - F.col("r.low") + m).alias("part"))
-    starts = parts.select("doc_id", "item_key", "n_words", "low", "part", F.explode(F.sequence("low", "high")).alias("start"))
-    windows = starts.select("doc_id", "item_key", "n_words", "start", F.slice("part", F.col("start") - F.col("low") + 1, m).alias("window")).where(F.size("window") > 0)
-    marked = windows.withColumn("fp", simhash("window", counter))
-    index = own.select("item_key", "item_fp", F.posexplode(_keys("item_fp", radius)).alias("block", "key"))
-    probes = marked.select("doc_id", "item_key", "n_words", "start", "window", "fp", F.posexplode(_keys("fp", radius)).alias("block", "key"))
-    met = probes.join(F.broadcast(index), ["item_key", "block", "key"])
-    first = F.array_position(F.zip_with(_keys("fp", radius), _keys("item_fp", radius), lambda a, b: a == b), F.lit(True)) == F.col("block") + 1
-    near = met.where((F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius) & first)
-    near = near.join(F.broadcast(own.select("item_key", "item_id", "item_shingles")), "item_key")
-    scored = near.select("doc_id", "item_id", "n_words", "start", weighted_similarity(F.col("item_shingles"), F.col("window")).alias("similarity"))
+    ranges = cut(asked).select("doc_id", "shingles", F.explode("asked").alias("a")).select("doc_id", "shingles", "a.n_words", F.explode("a.ranges").alias("r"))
+    parts = ranges.select("doc_id", "n_words", "r.low", "r.high", F.slice("shingles", F.col("r.low") + 1, F.col("r.high") - F.col("r.low") + m).alias("part"))
+    starts = parts.select("doc_id", "n_words", "low", "part", F.explode(F.sequence("low", "high")).alias("start"))
+    windows = starts.select("doc_id", "n_words", "start", F.slice("part", F.col("start") - F.col("low") + 1, m).alias("window")).where(F.size("window") > 0)
+    marked, _ = materialize(windows.select("doc_id", "n_words", "start", simhash("window", counter).alias("fp")), "window-fingerprints")
+    near, _ = materialize(near_items(marked, own, radius), "near-items")
+    pairs = marked.join(near, ["n_words", "fp"]).groupBy("doc_id").agg(F.collect_list(F.struct("n_words", "start", "item_key")).alias("pairs"))
+    pairs, _ = materialize(pairs, "window-pairs")
+    tried = cut(pairs).select("doc_id", "shingles", F.explode("pairs").alias("p")).select("doc_id", "p.*", F.slice("shingles", F.col("p.start") + 1, F.col("p.n_words") - width + 1).alias("window"))
+    scored = tried.join(own.select("item_key", "item_id", "item_shingles"), "item_key")
+    scored = scored.select("doc_id", "item_id", "n_words", "start", weighted_similarity(F.col("item_shingles"), F.col("window")).alias("similarity"))
     return scored.where(F.col("similarity") >= similarity)
 
 
