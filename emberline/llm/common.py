@@ -1,7 +1,8 @@
 """What the text operators share.
 
 Every operator takes a DataFrame of documents and reads the columns doc_id and text alone, so that
-further columns, whatever their names, never reach its joins. Words are runs of anything but ASCII
+further columns, whatever their names, never reach its joins; filters that return all columns join by names
+that no column has (free_name). Words are runs of anything but ASCII
 white space, as bytes.split() gives them.
 """
 
@@ -60,10 +61,24 @@ def crc32_of_id() -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary"))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores, so that no column of df is called that."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def small(df: DataFrame, few: int = 1 << 20) -> DataFrame:
+    """df, to be broadcast where it has at most `few` rows. It is counted: give it materialised."""
+    return F.broadcast(df) if df.count() <= few else df
+
+
 def without_ids(docs: DataFrame, gone: DataFrame, few: int = 1 << 20) -> DataFrame:
     """Documents (all their columns) whose doc_id isn't in gone. Up to `few` ids are broadcast, more go by a shuffle."""
-    ids, _ = materialize(gone.select(F.col("doc_id").alias("__id")).distinct(), "gone-ids")
-    return docs.join(F.broadcast(ids) if ids.count() <= few else ids, F.col("doc_id") == F.col("__id"), "left_anti")
+    id_ = free_name(docs, "gone_id")
+    ids, _ = materialize(gone.select(F.col("doc_id").alias(id_)).distinct(), "gone-ids")
+    return docs.join(small(ids, few), docs["doc_id"] == ids[id_], "left_anti")
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -20,7 +20,7 @@ Items of any length: counters of fingerprints widen where an item has over 65,53
 the document that is asked for, and the similarity takes time in proportion to a window.
 
 Seeds are broadcast in blocks of items with about seeds_per_block seeds each, the index in blocks of index_rows rows (an item
-has 2,788), so what is broadcast has a fixed bound (some 30 MB); a larger benchmark takes more blocks. Documents with a seed are broadcast
+has 2,788), so what is broadcast has a fixed bound (some 30 and 170 MB); a larger benchmark takes more blocks. Documents with a seed are broadcast
 back to their texts where they are few (at most few_docs), and joined by a shuffle otherwise.
 
 Null texts count as empty, items without words match nothing, rows without doc_id or item_id are left out,

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberline.llm.common import buckets_for, runs, slim, text_bytes
+from emberline.llm.common import buckets_for, free_name, runs, slim, small, text_bytes
 from emberline.session import materialize
 
 SPACE = b" \t\n\x0b\x0c\r"
@@ -151,9 +151,10 @@ def line_keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, r
     ordered = keys.repartitionByRange(n, "hi", "lo", "doc_id").sortWithinPartitions("hi", "lo", "doc_id")
     verdicts, _ = materialize(ordered.mapInArrow(_verdicts(min_docs), VERDICTS), "line-verdicts")
     pending = verdicts.where("pending")
-    # At most three keys a partition are pending: this table has at most 3n rows of 32 bytes.
-    edges = pending.groupBy("hi", "lo").agg(F.count_distinct("doc_id").alias("n_docs"), F.max("doc_id").alias("last_doc")).where(F.col("n_docs") >= min_docs)
-    settled = pending.join(F.broadcast(edges), ["hi", "lo"]).where("doc_id <> last_doc")
+    # A pending key's documents are made distinct where they are many; what then meets by key is a sum a task.
+    edges = pending.select("hi", "lo", "doc_id").distinct().groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
+    edges, _ = materialize(edges.where(F.col("n_docs") >= min_docs), "line-edges")  # three keys a partition at most
+    settled = pending.join(small(edges), ["hi", "lo"]).where("doc_id <> last_doc")
     drops = verdicts.where("not pending").select("doc_id", "lines").unionByName(settled.select("doc_id", "lines"))
     drops = drops.groupBy("doc_id").agg(F.collect_list("lines").alias("lines"))
     sizes = docs.select("doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines")).groupBy("doc_id").agg(F.max("n_lines").alias("n_lines"))
@@ -168,13 +169,14 @@ def keep_lines(text: str, bitmap: bytes) -> str:
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """Documents (all their columns) with text cut to the kept lines; n_chars, if there is one, follows the text. A document without a bitmap, or with nothing to drop, stays as it is."""
-    change = bitmaps.where("n_dropped > 0").select(F.col("doc_id").alias("__id"), F.col("keep_bitmap").alias("__bitmap"))
-    joined = docs.alias("d").join(change, F.col("d.doc_id") == F.col("__id"), "left").select("d.*", "__bitmap")
+    id_, map_ = free_name(docs, "changed_id"), free_name(docs, "keep_map")
+    change = bitmaps.where("n_dropped > 0").select(F.col("doc_id").alias(id_), F.col("keep_bitmap").alias(map_))
+    joined = docs.join(change, docs["doc_id"] == change[id_], "left").drop(id_)
 
     def f(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = dict(zip(batch.schema.names, batch.columns, strict=True))
-            maps = columns.pop("__bitmap")
+            maps = columns.pop(map_)
             texts = columns["text"].to_pylist()
             for k in np.flatnonzero(maps.is_valid().to_numpy(zero_copy_only=False)).tolist():
                 texts[k] = keep_lines(texts[k] or "", maps[k].as_py())

@@ -1,7 +1,7 @@
 import random
 
 import corpus_pipeline as pipeline
-from emberline.llm import neardup
+from emberline.llm import decontam, neardup
 from tests.llm.test_decontam import brute as brute_leaks
 from tests.llm.test_lines import brute as brute_lines
 from tests.llm.test_packing import check
@@ -79,3 +79,16 @@ def test_empty_documents(spark, tmp_path):
 def test_filters_keep_rows_without_id(spark):
     docs = spark.createDataFrame([(None, "lorka temri", "aa", "s", 1), (1, "lorka temri", "aa", "s", 1), (2, "lorka temri", "aa", "s", 1)], SCHEMA)
     assert sorted((r["doc_id"] or -1) for r in neardup.keep_one_of_each(docs).collect()) == [-1, 1]
+
+
+def test_filters_keep_columns_of_any_name(spark):
+    """Extra columns named as helpers are, or as fields of the operators' rows, come through unchanged."""
+    extra = ["__id", "__bitmap", "gone_id", "changed_id", "keep_map", "component_id", "n_dropped", "key", "__node"]
+    rows, items = corpus()
+    docs = spark.createDataFrame([(*r, *range(r[0], r[0] + len(extra))) for r in rows], SCHEMA + "".join(f", {c} long" for c in extra)).repartition(3)
+    for stage in (pipeline.line_dedup, pipeline.near_dedup):
+        got = stage(spark, docs, "").collect()
+        assert got and got[0].asDict().keys() == dict.fromkeys(docs.columns).keys()
+        assert all(r[c] == r["doc_id"] + k for r in got for k, c in enumerate(extra))
+    leaks = decontam.drop_contaminated(docs, spark.createDataFrame([(*i, 1) for i in items], "item_id long, text string, h long")).collect()
+    assert 0 < len(leaks) < len(rows) and all(r["__id"] == r["doc_id"] for r in leaks)
