@@ -32,18 +32,21 @@ def works_known_by(spark: SparkSession, sf_dir: str) -> DataFrame:
     works = _works(spark, sf_dir)
     day = lambda part: F.date_format("published", part).cast("int")
     item = F.struct(F.upper("doi").alias("DOI"), F.array(F.lit("t")).alias("title"), F.struct(F.array(F.array(day("y"), day("M"), day("d"))).alias("date-parts")).alias("published"), F.struct(F.concat(c("created").cast("string"), F.lit("T00:00:00Z")).alias("date-time")).alias("created"))
-    recorded = papers.crossref_works(bodies(works.where("created IS NOT NULL"), '{"message": {"items": %s}}', item, c("o_orderkey") % 61))
+    recorded = papers.crossref_works(bodies(works.where("created IS NOT NULL"), '{"message": {"items": %s}}', item, F.floor(c("o_orderkey") / 100)))
     return papers.known_works(works, papers.created_after(recorded, F.lit(AS_OF)), F.lit(AS_OF)).select("o_orderkey")
 
 
-@query("SELECT p_partkey, p_name AS title, DATE '1990-01-01' + (p_partkey % 4000)::INT AS observed_at FROM part WHERE p_size % 3 <> 0 AND DATE '1990-01-01' + (p_partkey % 4000)::INT <= DATE '1999-06-30'")
+@query("""SELECT p_partkey, p_name AS title, DATE '1996-01-01' + (p_partkey % 1500)::INT AS observed_at FROM part
+WHERE p_size % 3 <> 0 AND p_size % 5 <> 0 AND DATE '1996-01-01' + (p_partkey % 1500)::INT BETWEEN DATE '1999-06-30' - 1095 AND DATE '1999-06-30'""")
 def connector_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as works with abstracts, every third too short to count."""
-    day = F.date_add(F.lit("1990-01-01").cast("date"), (c("p_partkey") % 4000).cast("int"))
+    """Parts as works with abstracts: every third too short to count, every fifth recorded after the date, others older than three years."""
+    day = F.date_add(F.lit("1996-01-01").cast("date"), (c("p_partkey") % 1500).cast("int"))
     part = lambda p: F.date_format(day, p).cast("int")
     abstract = F.concat(F.lit("<p>"), F.repeat(F.lit("long abstract "), F.when(c("p_size") % 3 == 0, 2).otherwise(20)), F.lit("</p>"))
-    item = F.struct(F.concat(F.lit("10.2/P"), "p_partkey").alias("DOI"), F.array("p_name").alias("title"), abstract.alias("abstract"), F.struct(F.array(F.array(part("y"), part("M"), part("d"))).alias("date-parts")).alias("published"))
-    got = connectors.REGISTRY["crossref"].run(bodies(table(spark, sf_dir, "part"), '{"message": {"items": %s}}', item, c("p_size")), AS_OF)
+    made = F.struct(F.when(c("p_size") % 5 == 0, "1999-07-01T00:00:00Z").when(c("p_size") % 5 == 1, "1999-06-30T23:00:00Z").alias("date-time"))
+    item = F.struct(F.concat(F.lit("10.2/P"), "p_partkey").alias("DOI"), F.array("p_name").alias("title"), abstract.alias("abstract"), F.struct(F.array(F.array(part("y"), part("M"), part("d"))).alias("date-parts")).alias("published"), made.alias("created"))
+    pages = bodies(table(spark, sf_dir, "part"), '{"message": {"items": %s}}', item, F.floor(c("p_partkey") / 100))
+    got = connectors.REGISTRY["crossref"].run(pages, AS_OF, terms=["long abstracts"]).unionByName(connectors.REGISTRY["crossref"].run(pages, AS_OF, terms=["insulin pump"]))
     return got.select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("p_partkey"), "title", "observed_at")
 
 
@@ -51,16 +54,16 @@ def connector_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def connector_preprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as Atom entries."""
     entry = F.concat(F.lit("<entry><id>http://arxiv.org/abs/"), "s_suppkey", F.lit("</id><published>1998-01-02T00:00:00Z</published><title>"), "s_name", F.lit("\n</title><summary>an\n abstract</summary></entry>"))
-    pages = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array_join(F.collect_list(entry), "").alias("e")).select(F.concat(F.lit("<feed>"), "e", F.lit("</feed>")).alias("body"))
+    pages = table(spark, sf_dir, "supplier").groupBy(F.floor(c("s_suppkey") / 100)).agg(F.array_join(F.collect_list(entry), "").alias("e")).select(F.concat(F.lit("<feed>"), "e", F.lit("</feed>")).alias("body"))
     got = connectors.REGISTRY["arxiv"].run(pages, AS_OF).where(c("url").startswith("https://") & (c("text") == F.concat("title", F.lit("\n\nan abstract"))))
     return got.select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("s_suppkey"), "title")
 
 
-@query("SELECT event_id, ts::DATE AS observed_at FROM events WHERE event_id % 5 <> 0 AND ts::DATE <= DATE '2024-01-20'")
+@query("SELECT event_id, ts::DATE AS observed_at FROM events WHERE event_id % 5 <> 0 AND ts::DATE BETWEEN DATE '2024-01-20' - 87 AND DATE '2024-01-20' AND ts::DATE >= DATE '2024-04-06' - 88")
 def connector_news_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as index articles, every fifth without a web address."""
     item = F.struct(F.concat(F.when(c("event_id") % 5 == 0, F.lit("ftp://n.example/")).otherwise(F.lit("https://n.example/")), "event_id").alias("url"), F.lit(" A  title ").alias("title"), F.date_format("ts", "yyyyMMddHHmmss").alias("seendate"))
-    got = connectors.REGISTRY["gdelt"].run(bodies(table(spark, sf_dir, "events"), '{"articles": %s}', item, c("user_id")), date(2024, 1, 20))
+    got = connectors.REGISTRY["gdelt"].run(bodies(table(spark, sf_dir, "events"), '{"articles": %s}', item, F.floor(c("event_id") / 100)), date(2024, 1, 20), today=date(2024, 4, 6))
     return got.where("title = 'A title'").select(F.regexp_extract("url", r"(\d+)$", 1).cast("long").alias("event_id"), "observed_at")
 
 
@@ -69,7 +72,7 @@ def connector_news_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses inside redirecting links; every fourth item is a page of the index itself."""
     target = F.when(c("page_id") % 4 == 0, F.lit("https://www.bing.com/news/apiclick?x=1")).otherwise(F.concat(F.lit("https://www.bing.com/news/apiclick.aspx?ref=r&amp;url="), F.url_encode("url"), F.lit("&amp;c=1")))
     item = F.concat(F.lit("<item><title>"), "page_id", F.lit("</title><link>"), target, F.lit("</link></item>"))
-    feeds = table(spark, sf_dir, "pages").groupBy(c("page_id") % 13).agg(F.array_join(F.collect_list(item), "").alias("i")).select(F.concat(F.lit("<rss>"), "i", F.lit("</rss>")).alias("body"))
+    feeds = table(spark, sf_dir, "pages").groupBy(F.floor(c("page_id") / 100)).agg(F.array_join(F.collect_list(item), "").alias("i")).select(F.concat(F.lit("<rss>"), "i", F.lit("</rss>")).alias("body"))
     return connectors.REGISTRY["bing_news"].run(feeds, AS_OF).select(c("title").cast("long").alias("page_id"), "url")
 
 
@@ -87,9 +90,9 @@ def connector_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as studies, every sixth without a title; the topic passes the health gate."""
     s = F.struct
     item = s(s(s(F.concat(F.lit("NCT"), "o_orderkey").alias("nctId"), F.when(c("o_orderkey") % 6 == 0, "").otherwise("A study").alias("briefTitle")).alias("identificationModule"), s(c("o_orderstatus").alias("overallStatus"), s(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date")).alias("studyFirstPostDateStruct")).alias("statusModule")).alias("protocolSection"))
-    got = connectors.REGISTRY["clinicaltrials"].run(bodies(table(spark, sf_dir, "orders"), '{"studies": %s}', item, c("o_custkey") % 97), AS_OF)
-    passed = gated.gated(got, ["gene therapy"], gated.is_health_topic).unionByName(gated.gated(got, ["concrete"], gated.is_health_topic))
-    return passed.select(F.regexp_extract("source_id", r"(\d+)$", 1).cast("long").alias("o_orderkey"), "observed_at", "kind")
+    pages = bodies(table(spark, sf_dir, "orders"), '{"studies": %s}', item, F.floor(c("o_orderkey") / 100))
+    got = connectors.REGISTRY["clinicaltrials"].run(pages, AS_OF, ["gene therapy"]).unionByName(connectors.REGISTRY["clinicaltrials"].run(pages, AS_OF, ["concrete"]))
+    return got.select(F.regexp_extract("source_id", r"(\d+)$", 1).cast("long").alias("o_orderkey"), "observed_at", "kind")
 
 
 @query("""SELECT o_orderkey % 5000 AS id, min(o_orderdate::DATE) AS observed_at, arg_min(CASE WHEN o_orderkey % 4 = 0 THEN 'tender' ELSE 'grant_call' END, (o_orderdate::DATE, CASE WHEN o_orderkey % 4 = 0 THEN 'tender' ELSE 'grant_call' END)) AS kind
@@ -99,7 +102,7 @@ def connector_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     kind = F.element_at(F.array(F.array(F.lit("0")), F.array(F.lit("1"), F.lit("x")), F.array(F.lit("8")), F.array(F.lit("5"))), (c("o_orderkey") % 4 + 1).cast("int"))
     meta = F.struct(kind.alias("type"), F.array((c("o_orderkey") % 5000).cast("string")).alias("identifier"), F.array(F.lit("A call")).alias("title"), F.array(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("startDate"))
-    got = connectors.REGISTRY["sedia"].run(bodies(o, '{"results": %s}', F.struct(meta.alias("metadata")), c("o_custkey") % 97), AS_OF)
+    got = connectors.REGISTRY["sedia"].run(bodies(o, '{"results": %s}', F.struct(meta.alias("metadata")), F.floor(c("o_orderkey") / 100)), AS_OF)
     return got.select(c("source_id").cast("long").alias("id"), "observed_at", "kind")
 
 

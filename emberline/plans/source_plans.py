@@ -28,7 +28,7 @@ def connector_awards(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("A"), "o_orderkey").alias("Award ID"), F.concat(F.lit("R"), "o_custkey").alias("Recipient Name"), c("o_totalprice").alias("Award Amount"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("Start Date"),
         F.lit("d").alias("Description"), F.lit("g").alias("Awarding Agency"), F.concat(F.lit("g"), "o_orderkey").alias("generated_internal_id"),
     )
-    found = bodies(table(spark, sf_dir, "orders"), '{"results": %s}', item, c("o_custkey") % 97)
+    found = bodies(table(spark, sf_dir, "orders"), '{"results": %s}', item, F.floor(c("o_orderkey") / 100))
     return connectors.REGISTRY["usaspending"].run(found, date(2000, 12, 31)).select("url", "source_id", "observed_at", "amount", "company", "channel")
 
 
@@ -37,7 +37,7 @@ def connector_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The greatest amount of each project."""
     v = lambda x: F.struct(x.cast("string").alias("value"))
     item = F.struct(v(c("p_partkey") % 300).alias("project_id"), v(c("p_name")).alias("title"), v(c("p_type")).alias("abstract"), v(F.lit("2001-02-03")).alias("start_date"), v(c("p_retailprice")).alias("funding_amount"))
-    found = bodies(table(spark, sf_dir, "part"), '{"results": {"bindings": %s}}', item, c("p_size"))
+    found = bodies(table(spark, sf_dir, "part"), '{"results": {"bindings": %s}}', item, F.floor(c("p_partkey") / 100))
     return connectors.REGISTRY["cordis"].run(found, date(2001, 6, 30)).select(c("source_id").cast("long").alias("id"), "amount")
 
 

@@ -9,16 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberline.functions import dates, money
-from emberline.functions.text import strip_html
+from emberline.functions.text import key_stems, relevant, stems, strip_html
 
 COLUMNS = {
-    "url": "string", "title": "string", "observed_at": "date", "text": "string", "source_id": "string", "kind": "string", "amount": "double", "currency": "string", "company": "string", "customer": "string",
+    "url": "string", "title": "string", "observed_at": "date", "text": "string", "source_id": "string", "kind": "string", "amount": "double", "currency": "string", "company": "string", "customer": "string", "recorded_at": "date",
 }
 
 
@@ -30,15 +30,36 @@ class Connector:
     parse: Callable[[DataFrame], DataFrame]
     default_on: bool = True
     historical: bool = True
+    gate: Callable[[Column], Column] | None = None  # of the array of terms: whether the source is asked at all
+    look_back: int | None = None  # days before the evaluation date
+    keeps: int | None = None  # days before today that the index holds
+    fits: Callable[[list[str]], Column] | None = None  # over the references: whether one belongs to the terms
 
     def __post_init__(self):
         if self.channel not in ("science", "money", "market", "adoption") or self.date_support not in ("strict", "post", "none"):
             raise ValueError(f"{self.name}: unknown channel or date support")
 
-    def run(self, bodies: DataFrame, as_of: date) -> DataFrame:
+    def run(self, bodies: DataFrame, as_of: date, terms: list[str] | None = None, today: date | None = None) -> DataFrame:
+        """The references known on the day; with terms also only those of their topic, none where the source isn't asked for it.
+
+        today (the day of the run) matters to sources that keep a limited time alone. Undated references pass windows unless
+        dates are strict.
+        """
         refs = self.parse(bodies)
         day = F.col("observed_at")
-        ok = F.lit(True) if self.date_support == "none" else day.isNotNull() & (day <= F.lit(as_of)) if self.date_support == "strict" else day.isNull() | (day <= F.lit(as_of))
+        first, last = as_of - timedelta(days=self.look_back) if self.look_back else None, as_of
+        if self.keeps is not None and today is not None:
+            oldest, last = today - timedelta(days=self.keeps), min(as_of, today)
+            first = max(last - timedelta(days=self.keeps - 1), oldest)
+            refs = refs.where(F.lit(last >= oldest))
+        inside = (day <= F.lit(last)) & (F.lit(True) if first is None else day >= F.lit(first))
+        ok = F.lit(True) if self.date_support == "none" else day.isNotNull() & inside if self.date_support == "strict" else day.isNull() | inside
+        ok = ok & (F.col("recorded_at").isNull() | (F.col("recorded_at") <= F.lit(as_of)))
+        if terms is not None:
+            if self.gate is not None:
+                ok = ok & self.gate(F.array(*map(F.lit, terms)).cast("array<string>"))
+            if self.fits is not None:
+                ok = ok & self.fits(terms)
         return refs.where(ok).withColumns({"channel": F.lit(self.channel), "connector": F.lit(self.name), "date_support": F.lit(self.date_support)})
 
 
@@ -140,10 +161,35 @@ def github(bodies: DataFrame) -> DataFrame:
     return refs(rows.where(~F.coalesce(V["fork"], F.lit(False)) & ~F.coalesce(V["archived"], F.lit(False))), url=V["html_url"], title=V["full_name"], observed_at=dates.date_prefix(V["created_at"]), text=V["description"], source_id=V["full_name"], amount=V["stargazers_count"])
 
 
-@register("huggingface", "adoption", "post", historical=False)
+def about(*columns: str):
+    """Whether a reference's columns hold most word stems of one of the terms."""
+
+    def fits(terms: list[str]) -> Column:
+        own = stems(F.regexp_replace(F.concat_ws(" ", *columns), r"[-_/.]+", " "))
+        wanted = F.array(*(key_stems(F.lit(t)) for t in terms)) if terms else F.array().cast("array<array<string>>")
+        return F.exists(wanted, lambda t: relevant(own, t))
+
+    return fits
+
+
+def is_ml(terms: Column) -> Column:
+    from emberline.sources.gated import is_ml_topic
+
+    return is_ml_topic(terms)
+
+
+@register("huggingface", "adoption", "post", historical=False, gate=is_ml, fits=about("source_id", "kind", "text"))
 def huggingface(bodies: DataFrame) -> DataFrame:
-    rows = bodies.select(F.explode(F.from_json("body", "array<struct<id:string,author:string,lastModified:string,likes:int,downloads:int,tags:array<string>,private:boolean>>")).alias("x"))
-    return refs(rows.where(~F.coalesce(V["private"], F.lit(False))), url=F.concat(F.lit("https://huggingface.co/"), V["id"]), title=V["id"], observed_at=dates.date_prefix(V["lastModified"]), text=F.array_join(V["tags"], " "), source_id=V["id"], amount=V["downloads"])
+    """Public models by task and tags; asked for topics of machine learning alone."""
+    rows = bodies.select(F.explode(F.from_json("body", "array<struct<id:string,modelId:string,author:string,lastModified:string,likes:int,downloads:int,pipeline_tag:string,tags:array<string>,private:boolean>>")).alias("x"))
+    name, task = F.trim(F.coalesce(F.nullif(V["modelId"], F.lit("")), V["id"])), F.coalesce(F.nullif(V["pipeline_tag"], F.lit("")), F.lit("unknown"))
+    day, count = dates.date_prefix(V["lastModified"]), lambda n: F.coalesce(V[n], F.lit(0)).cast("string")
+    text = F.concat(
+        F.lit("Public Hugging Face model: "), name, F.lit(". Task: "), task, F.lit(". Downloads: "), count("downloads"), F.lit("; likes: "), count("likes"), F.lit("; last update: "),
+        F.coalesce(day.cast("string"), F.lit("unknown")), F.lit(". Tags: "), F.array_join(F.slice(F.coalesce(V["tags"], F.array().cast("array<string>")), 1, 12), ", "), F.lit("."),
+    )
+    good = rows.where(~F.coalesce(V["private"], F.lit(False)) & (F.length(name) > 0))
+    return refs(good, url=F.concat(F.lit("https://huggingface.co/"), name), title=F.concat(F.lit("Hugging Face model "), name), observed_at=day, text=text, source_id=name, kind=task, amount=V["downloads"])
 
 
 @register("ted", "money", "strict")

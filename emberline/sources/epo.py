@@ -11,6 +11,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from emberline.functions import dates
 from emberline.functions.text import key_stems, relevant, stems, strip_html
 
 DATED = ("docdb", "epodoc")  # of a document's ids those whose date counts
@@ -33,17 +34,10 @@ def content(node: Column) -> Column:
     return F.coalesce(F.try_variant_get(node, "$['$']", "string"), whole, F.lit(""))
 
 
-def compact_date(text: Column) -> Column:
-    """YYYY, YYYYMM or YYYYMMDD, with dashes or without; missing parts are 01."""
-    part = lambda k: F.regexp_extract(F.trim(text), r"^(\d{4})(?:-?(\d{2}))?(?:-?(\d{2}))?", k)
-    either = lambda k: F.when(part(k) == "", "01").otherwise(part(k))
-    return F.try_to_date(F.concat_ws("-", part(1), either(2), either(3)), "yyyy-MM-dd")
-
-
 def document_date(documents: Column) -> Column:
     """The date of the first document of a known kind that has one."""
     good = F.filter(documents, lambda d: F.try_variant_get(d, "$['@document-id-type']", "string").isin(*DATED) & (content(at(d, "date")) != ""))
-    return compact_date(content(at(F.get(good, F.lit(0)), "date")))
+    return dates.compact_date(content(at(F.get(good, F.lit(0)), "date")))
 
 
 def cleaned(text: Column) -> Column:

@@ -40,18 +40,20 @@ def is_health_topic(terms: Column) -> Column:
     return F.exists(F.array(*map(F.lit, HEALTH_HINTS)), lambda h: F.contains(text, h))
 
 
-def gated(references: DataFrame, terms: list[str], gate) -> DataFrame:
-    """The references where the topic passes the gate, none where it doesn't: a constant condition that Catalyst folds."""
-    return references.where(gate(F.array(*map(F.lit, terms))))
+def known(value: Column) -> Column:
+    return F.coalesce(F.nullif(value.cast("string"), F.lit("")), F.lit("unknown"))
 
 
-@register("clinicaltrials", "market", "post")
+def bare(value: Column) -> Column:
+    return F.coalesce(value, F.lit(""))
+
+
+@register("clinicaltrials", "market", "post", gate=is_health_topic)
 def clinicaltrials(bodies: DataFrame) -> DataFrame:
     schema = "studies array<struct<protocolSection:struct<identificationModule:struct<nctId:string,briefTitle:string>,statusModule:struct<overallStatus:string,studyFirstPostDateStruct:struct<date:string>>,designModule:struct<studyType:string>,descriptionModule:struct<briefSummary:string>>>>"
     rows = items(bodies, schema, "studies").select(F.col("x.protocolSection").alias("x"))
     nct, title = F.trim(V["identificationModule"]["nctId"]), F.trim(V["identificationModule"]["briefTitle"])
     posted = dates.date_prefix(V["statusModule"]["studyFirstPostDateStruct"]["date"])
-    known = lambda c: F.coalesce(c.cast("string"), F.lit("unknown"))
     text = F.concat(
         F.lit("Clinical study "), nct, F.lit(". Title: "), title, F.lit(". Study type: "), known(V["designModule"]["studyType"]), F.lit(". Status: "), known(V["statusModule"]["overallStatus"]),
         F.lit(". First posted: "), known(posted), F.lit(". "), F.coalesce(F.trim(V["descriptionModule"]["briefSummary"]), F.lit("")),
@@ -60,25 +62,28 @@ def clinicaltrials(bodies: DataFrame) -> DataFrame:
     return refs(good, url=F.concat(F.lit("https://clinicaltrials.gov/study/"), nct), title=title, observed_at=posted, text=text, source_id=nct, kind=F.lit("trial"))
 
 
-@register("openfda_510k", "market", "post")
+@register("openfda_510k", "market", "post", gate=is_health_topic)
 def openfda_510k(bodies: DataFrame) -> DataFrame:
-    rows = items(bodies, "results array<struct<device_name:string,k_number:string,decision_date:string,decision_description:string,applicant:string>>", "results")
+    rows = items(bodies, "results array<struct<device_name:string,k_number:string,decision_date:string,decision_description:string,applicant:string,product_code:string>>", "results")
     name, number = F.trim(V["device_name"]), F.trim(V["k_number"])
     day = dates.date_prefix(V["decision_date"])
-    text = F.concat(F.lit("FDA 510(k) medical-device record. Device: "), name, F.lit(". Decision: "), F.coalesce(V["decision_description"], F.lit("")), F.lit(". Applicant: "), F.coalesce(V["applicant"], F.lit("unknown")))
+    text = F.concat(F.lit("FDA 510(k) medical-device record. Device: "), name, F.lit(". Decision: "), bare(V["decision_description"]),
+                    F.lit(". Decision date: "), known(day), F.lit(". Applicant: "), known(V["applicant"]), F.lit(". Product code: "), known(V["product_code"]), F.lit(". K-number: "), number, F.lit("."))
     good = rows.where((F.length(name) > 0) & (F.length(number) > 0))
     return refs(good, url=F.concat(F.lit("https://www.accessdata.fda.gov/scripts/cdrh/cfdocs/cfpmn/pmn.cfm?ID="), number), title=name, observed_at=day, text=text, source_id=number, kind=F.lit("regulation"), company=V["applicant"])
 
 
-@register("openfda_drugs", "market", "post")
+@register("openfda_drugs", "market", "post", gate=is_health_topic)
 def openfda_drugs(bodies: DataFrame) -> DataFrame:
-    rows = items(bodies, "results array<struct<application_number:string,products:array<struct<brand_name:string>>,submissions:array<struct<submission_status_date:string>>>>", "results")
+    rows = items(bodies, "results array<struct<application_number:string,products:array<struct<brand_name:string,active_ingredients:string>>,submissions:array<struct<submission_status_date:string>>>>", "results")
     number = F.trim(V["application_number"])
-    name = F.coalesce(F.nullif(F.get(V["products"], F.lit(0))["brand_name"], F.lit("")), F.lit("FDA drug record"))
+    product = F.get(V["products"], F.lit(0))  # its ingredients, an array, are read as the text that they are
+    name = F.coalesce(F.nullif(product["brand_name"], F.lit("")), F.nullif(product["active_ingredients"], F.lit("")), F.lit("FDA drug record"))
     raw = F.get(V["submissions"], F.lit(0))["submission_status_date"]
-    day = F.coalesce(dates.date_prefix(raw), F.try_to_date(raw, "yyyyMMdd"))
+    day = dates.compact_date(raw)
     url = F.concat(F.lit("https://www.accessdata.fda.gov/scripts/cder/daf/index.cfm?event=overview.process&ApplNo="), number)
-    return refs(rows.where(F.length(number) > 0), url=url, title=name, observed_at=day, source_id=number, kind=F.lit("regulation"))
+    text = F.concat(F.lit("FDA drug approval record. Product: "), name, F.lit(". Application: "), number, F.lit(". Latest submission date: "), known(day), F.lit("."))
+    return refs(rows.where(F.length(number) > 0), url=url, title=name, observed_at=day, text=text, source_id=number, kind=F.lit("regulation"))
 
 
 @register("sedia", "money", "strict")
@@ -96,7 +101,9 @@ def sedia(bodies: DataFrame) -> DataFrame:
     good = named.where(F.col("kind").isNotNull() & (F.length("id") > 0) & (F.length("title") > 0) & F.col("day").isNotNull())
     best = good.groupBy("id").agg(F.min(F.struct("day", "kind", "title", "summary")).alias("b")).select("id", "b.*")
     url = F.concat(F.lit("https://ec.europa.eu/info/funding-tenders/opportunities/portal/screen/opportunities/topic-details/"), "id")
-    return refs(best, url=url, title=F.col("title"), observed_at=F.col("day"), text=F.col("summary"), source_id=F.col("id"), kind=F.col("kind"), customer=F.when(F.col("kind") == "tender", "European Commission"))
+    label = F.when(F.col("kind") == "tender", "EU tender").otherwise("EU funding call")
+    text = F.concat(label, F.lit(": "), "title", F.lit(". Published: "), F.col("day").cast("string"), F.lit(". Reference: "), "id", F.lit(".\n\n"), "summary")
+    return refs(best, url=url, title=F.col("title"), observed_at=F.col("day"), text=text, source_id=F.col("id"), kind=F.col("kind"), customer=F.when(F.col("kind") == "tender", "European Commission"))
 
 
 def family_collapse(references: DataFrame, family: Column) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from emberline.functions import dates
 from emberline.functions.text import strip_html
-from emberline.sources.connectors import V, items, refs, register
+from emberline.sources.connectors import V, about, items, refs, register
 
 WORKS = "message struct<items:array<struct<DOI:string,title:array<string>,abstract:string,language:string,type:string,`is-referenced-by-count`:int,published:struct<`date-parts`:array<array<int>>>,created:struct<`date-time`:string>>>>"
 
@@ -49,13 +49,13 @@ def holds_phrase(title: Column, abstract: Column, phrases: list[str]) -> Column:
     return F.exists(F.array(*[F.lit(p.lower()) for p in phrases]), lambda p: F.contains(text, p))
 
 
-@register("crossref", "science", "strict")
+@register("crossref", "science", "strict", look_back=1095, fits=lambda terms: about("title", "text")([" ".join(t for t in terms)] if terms else []))
 def crossref(bodies: DataFrame) -> DataFrame:
-    """Works with an abstract of over 150 characters; a date of year and month only is its first day."""
+    """Works of three years with an abstract of over 150 characters; a date of year and month only is its first day. A record made after the evaluation date, as those of back issues are, wasn't there then."""
     rows = items(bodies, WORKS, "message.items")
     title, abstract = squeeze(F.array_join(V["title"], " ")), squeeze(F.regexp_replace(V["abstract"], "<[^>]+>", " "))
     good = rows.where(V["DOI"].isNotNull() & (F.length(title) > 0) & (F.length(abstract) > 150))
-    return refs(good, url=F.concat(F.lit("https://doi.org/"), V["DOI"]), title=title, observed_at=part_date(V["published"]["date-parts"], 1, 1), text=F.concat(title, F.lit("\n\n"), abstract), source_id=F.lower(V["DOI"]))
+    return refs(good, url=F.concat(F.lit("https://doi.org/"), V["DOI"]), title=title, observed_at=part_date(V["published"]["date-parts"], 1, 1), text=F.concat(title, F.lit("\n\n"), abstract), source_id=F.lower(V["DOI"]), recorded_at=dates.date_prefix(V["created"]["date-time"]))
 
 
 def blocks(bodies: DataFrame, name: str) -> DataFrame:
@@ -68,7 +68,7 @@ def tag(name: str) -> Column:
     return F.nullif(F.trim(raw), F.lit(""))
 
 
-@register("arxiv", "science", "strict")
+@register("arxiv", "science", "strict", look_back=730)
 def arxiv(bodies: DataFrame) -> DataFrame:
     """Atom entries with an abstract."""
     rows = blocks(bodies, "entry")
@@ -78,7 +78,7 @@ def arxiv(bodies: DataFrame) -> DataFrame:
     return refs(good, url=url, title=title, observed_at=dates.date_prefix(tag("published")), text=F.concat(title, F.lit("\n\n"), abstract), source_id=url)
 
 
-@register("gdelt", "market", "post", historical=False)
+@register("gdelt", "market", "post", historical=False, keeps=88)
 def gdelt(bodies: DataFrame) -> DataFrame:
     """Articles with a web address and a title; the day of a fourteen-digit time."""
     rows = items(bodies, "articles array<struct<url:string,title:string,seendate:string,language:string,sourcecountry:string>>", "articles")
@@ -87,11 +87,6 @@ def gdelt(bodies: DataFrame) -> DataFrame:
     return refs(rows.where(V["url"].rlike("^https?://") & (F.length(title) > 0)), url=V["url"], title=title, observed_at=day, source_id=V["url"])
 
 
-def within_horizon(as_of: Column, today: Column, days: int = 88) -> Column:
-    """Whether an index that keeps so many days can answer for the evaluation date."""
-    return F.least(as_of, today) >= F.date_sub(today, days)
-
-
 @register("bing_news", "market", "none", historical=False)
 def bing_news(bodies: DataFrame) -> DataFrame:
     """Feed items by the address inside the redirecting link; the index's own pages go."""
