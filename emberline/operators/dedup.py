@@ -112,6 +112,19 @@ def word_pairs(items: DataFrame, words: str, rule: Column, least: float = 0.5, n
     return full.where(rule).select(F.col("id").alias("later"), "earlier")
 
 
+def technology_links(items: DataFrame, words: str) -> DataFrame:
+    """later, earlier: links that connect the items (id, words) of one technology, and only those, without all of their pairs.
+
+    Items with two neighbouring words in common are linked to the first of them, so two words that very many items hold give as
+    many links as items. The other rules ask for rare words in common (word_pairs).
+    """
+    own = items.select("id", F.col(words).alias("w")).where(F.size("w") > 1)
+    two = own.select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.array_join(F.slice("w", i, 2), " ")))).alias("two"))
+    first = two.groupBy("two").agg(F.min("id").alias("earlier"))
+    stars = two.join(first, "two").where("id <> earlier").select(F.col("id").alias("later"), "earlier").distinct()
+    return stars.unionByName(word_pairs(items, words, same_technology(F.col("a"), F.col("b")), neighbours=False))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
 

@@ -1,37 +1,72 @@
-"""Candidates with nearly the same name: sequence ratios over length bands, merged in order.
+"""Candidates with nearly the same name: sequence ratios of pairs that share enough, merged in order.
 
-A ratio over r needs lengths within r / (2 - r) of each other, so items meet by bands of length, each with its
-neighbour: no pair over the ratio is lost. The ratio itself is the standard library's, in Arrow batches.
+A ratio over r needs lengths within r / (2 - r) of each other and many pairs of neighbouring signs in common, so items
+meet by the rarest of these, or by bands of length where r is too small to promise any: no pair over the ratio is lost. The
+ratio itself is the standard library's, in Arrow batches, and only where the signs in common, whatever their order, allow it.
 """
 
 from __future__ import annotations
 
 import math
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from emberline.functions.columns import let
 from emberline.operators.dedup import first_survivors
 
 
-@F.pandas_udf(DoubleType())
-def sequence_ratio(later: pd.Series, earlier: pd.Series) -> pd.Series:
-    """SequenceMatcher(None, later, earlier).ratio(): it isn't symmetric, the later item comes first."""
-    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(later, earlier, strict=True)], dtype="float64")
+def ratio_over(least: float):
+    """SequenceMatcher(None, later, earlier).ratio(), or 0 where the signs in common show that it is below `least`. It isn't symmetric, the later item comes first."""
+
+    @F.pandas_udf(DoubleType())
+    def ratio(later: pd.Series, earlier: pd.Series) -> pd.Series:
+        out, held = [], {}
+        for a, b in zip(later, earlier, strict=True):
+            x, y = (held.setdefault(k, Counter(k)) for k in (a, b))
+            may = 2 * (x & y).total() >= least * (len(a) + len(b))
+            out.append(SequenceMatcher(None, a, b).ratio() if may else 0.0)
+        return pd.Series(out, dtype="float64")
+
+    return ratio
+
+
+def numbered_pairs(key: Column) -> Column:
+    """Each two neighbouring signs, with how often they stood before: a bag as a set."""
+    two = F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - 1, F.lit(1))), lambda i: F.substr(key, i, F.lit(2)))
+    own = F.when(F.length(key) > 1, two).otherwise(F.array().cast("array<string>"))
+    return let(own, lambda g: F.transform(g, lambda x, i: F.concat(x, F.size(F.filter(F.slice(g, 1, i), lambda y: y == x)).cast("string"))))
 
 
 def similar_pairs(items: DataFrame, least: float = 0.86) -> DataFrame:
-    """later, earlier, ratio of items (id, key) with a ratio over `least`."""
-    step = math.log(least / (2 - least))
-    band = F.floor(F.log(F.greatest(F.length("key"), F.lit(1)).cast("double")) / -step).cast("int")
-    own = items.select("id", "key", band.alias("band"))
-    other = own.select(F.col("id").alias("earlier"), F.col("key").alias("k2"), F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)).alias("band"))
-    short, long = F.least(F.length("key"), F.length("k2")), F.greatest(F.length("key"), F.length("k2"))
-    met = own.join(other, "band").where((F.col("earlier") < F.col("id")) & (2 * short >= least * (short + long)))
-    return met.withColumn("ratio", sequence_ratio("key", "k2")).where(F.col("ratio") > least).select(F.col("id").alias("later"), "earlier", "ratio")
+    """later, earlier, ratio of items (id, key) with a ratio over `least`, which must be over 2 / 3.
+
+    With S signs in both, at least least * S / 2 are matched and at most (1 - least) * S are not; matched runs are parted by at least
+    one unmatched sign, so all but (1 - least) * S + 1 matched signs begin a pair of neighbours that both have. The shorter
+    key of n signs therefore shares (3 * least - 2) * n - 1 of its pairs, and one of its rarest is among them. Where that is
+    none (keys of one sign at 0.86), keys meet by single signs instead; equal keys meet by the key.
+    """
+    if least <= 2 / 3:
+        raise ValueError("a ratio of 2 / 3 or less promises no pair of neighbours in common")
+    own = items.select("id", "key", F.length("key").alias("n"))
+    grams = own.select("id", "n", F.explode(numbered_pairs(F.col("key"))).alias("g"))
+    counted = grams.join(grams.groupBy("g").agg(F.count(F.lit(1)).alias("items")), "g")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("items", "g"))
+    shared = F.ceil(F.col("n") * (3 * least - 2) - 1 - 1e-9)
+    probes = counted.withColumn("at", rank).where((shared >= 1) & (F.col("at") <= F.col("n") - 1 - shared + 1)).select("g", F.col("id").alias("x"), F.col("n").alias("nx"))
+    met = probes.join(grams.select("g", F.col("id").alias("y"), F.col("n").alias("ny")), "g")
+    longest = math.floor(1 / (3 * least - 2) + 1e-9)  # of keys that promise no pair
+    signs = own.where(F.col("n").between(1, math.floor(longest * (2 - least) / least + 1e-9))).select("id", "n", F.explode(F.array_distinct(F.split("key", ""))).alias("c"))
+    met = met.unionByName(signs.where(F.col("n") <= longest).select("c", F.col("id").alias("x"), F.col("n").alias("nx")).join(signs.select("c", F.col("id").alias("y"), F.col("n").alias("ny")), "c").withColumnRenamed("c", "g"))
+    met = met.where((F.col("x") != F.col("y")) & (F.col("ny") >= F.col("nx")) & (2 * F.col("nx") >= least * (F.col("nx") + F.col("ny"))))
+    same = own.select("key", F.col("id").alias("x")).join(own.select("key", F.col("id").alias("y")), "key").where("x < y")
+    tried = met.select("x", "y").unionByName(same.select("x", "y")).select(F.greatest("x", "y").alias("id"), F.least("x", "y").alias("earlier")).distinct()
+    both = tried.join(own.select("id", "key"), "id").join(own.select(F.col("id").alias("earlier"), F.col("key").alias("k2")), "earlier")
+    return both.withColumn("ratio", ratio_over(least)("key", "k2")).where(F.col("ratio") > least).select(F.col("id").alias("later"), "earlier", "ratio")
 
 
 def merge_candidates(items: DataFrame, limit: int, least: float = 0.86) -> DataFrame:
@@ -57,7 +92,7 @@ def best_match(items: DataFrame, others: DataFrame, least: float = 0.68) -> Data
     own = items.select("id", "key", band("key").alias("band"))
     other = others.select(F.col("key").alias("k2")).distinct()
     other = other.select("k2", F.explode(F.array(band("k2") - 1, band("k2"), band("k2") + 1)).alias("band"))
-    best = own.join(other, "band").withColumn("r", sequence_ratio("key", "k2")).where(F.col("r") >= least).groupBy("id").agg(F.max("r").alias("best"))
+    best = own.join(other, "band").withColumn("r", ratio_over(least)("key", "k2")).where(F.col("r") >= least).groupBy("id").agg(F.max("r").alias("best"))
     return items.select("id").join(best, "id", "left").withColumn("represented", F.col("best").isNotNull())
 
 

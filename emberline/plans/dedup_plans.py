@@ -57,7 +57,7 @@ def same_technology_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH RECURSIVE {TECH}, e AS (SELECT later AS a, earlier AS b FROM p UNION SELECT earlier, later FROM p),
 r AS (SELECT a AS node, a AS reach FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach) SELECT node, min(reach) AS component FROM r GROUP BY node""")
 def technology_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return connected_components(dedup.word_pairs(technologies(spark, sf_dir), "words", dedup.same_technology(F.col("a"), F.col("b"))), "later", "earlier")
+    return connected_components(dedup.technology_links(technologies(spark, sf_dir), "words"), "later", "earlier")
 
 
 @query("""WITH RECURSIVE l AS (SELECT DISTINCT page_id AS doc, regexp_replace(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]*)', 1)), '^www\\.', '') AS host FROM pages), e AS (SELECT DISTINCT a.doc AS a, b.doc AS b FROM l a JOIN (SELECT min(doc) AS doc, host FROM l GROUP BY host) b USING (host)),
