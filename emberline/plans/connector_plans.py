@@ -142,7 +142,7 @@ _NUM = r"\d+(?:[,.]\d+)?(?:\s*[-–—]\s*\d+(?:[,.]\d+)?)?"
 _ACID, _OUT = "(?:pH|рН)", r"[^\p{L}\p{N}_/]"
 
 
-@query(rf"""WITH d AS (SELECT l_orderkey * 10 + l_linenumber AS doc_id, {_TEXT} AS text FROM lineitem),
+@query(rf"""WITH d AS (SELECT l_orderkey * 10 + l_linenumber AS doc_id, min({_TEXT}) AS text FROM lineitem GROUP BY 1),
 p AS (SELECT doc_id, string_split(regexp_replace(text, '([.!?。;])\s+', '\1' || chr(10), 'g'), chr(10)) AS parts FROM d),
 s AS (SELECT doc_id, generate_subscripts(parts, 1) AS place, trim(regexp_replace(unnest(parts), '\s+', ' ', 'g')) AS sentence FROM p),
 f AS (SELECT *, regexp_extract_all(' ' || replace(sentence, ' ', '  ') || ' ', '(?i){_OUT}((?:{_ACID}\s*)?{_NUM}\s{{0,2}}(?:{parameters.UNITS})|{_ACID}\s{{0,2}}{_NUM}){_OUT}', 1) AS found FROM s),
@@ -159,7 +159,7 @@ SELECT doc_id, label, sum(n)::BIGINT AS total, string_agg(value, '|' ORDER BY rn
   (SELECT string_agg(sentence, '|' ORDER BY l.rn) FROM l WHERE l.doc_id = r.doc_id AND l.label = r.label AND l.rn <= 3) AS contexts FROM r GROUP BY doc_id, label""")
 def parameter_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as texts of several sentences in two scripts, with units, ranges, acidity and words that only look like units."""
-    docs = spark.sql(f"SELECT l_orderkey * 10 + l_linenumber AS doc_id, {_TEXT} AS text FROM {{lineitem}}", lineitem=table(spark, sf_dir, "lineitem"))
+    docs = spark.sql(f"SELECT l_orderkey * 10 + l_linenumber AS doc_id, min({_TEXT}) AS text FROM {{lineitem}} GROUP BY 1", lineitem=table(spark, sf_dir, "lineitem"))
     return parameters.parameter_groups(docs)
 
 
