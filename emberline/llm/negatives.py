@@ -9,7 +9,7 @@ Components become floor(256 * x), scores are integer inner products. Anchors are
 Rows are dealt to parts by a range partition over (label, cell, vec_id); cells are the closest of PIVOTS rows drawn by hash,
 so a part, and each batch of it, holds rows that lie together, and a label or cell of a third of all rows spreads over many parts.
 Anchors in groups of at most `group` meet the parts in one partition for each (group, part): first the group, which gets a
-tree, then the part's rows, batch by batch, each batch with a tree of its own. A pair of nodes (centres a and b, radii r and s)
+tree, then the part's rows, batch by batch, each batch with a tree of its own; trees part labels before they part space. A pair of nodes (centres a and b, radii r and s)
 has inner products within a.b +- (r |b| + s |a| + r s). The traversal starts at the two roots and drops a pair if no anchor
 below it can gain from any row below: the upper bound doesn't reach the smallest of the group's n-th best scores so far, the
 interval misses all windows of the group's positives, or the labels don't fit. Pairs of leaves that stay are scored exactly,
@@ -41,6 +41,7 @@ from emberline.session import materialize, release
 
 PIVOTS = 256
 LEAF = 64
+FEW = 8  # rows that may share a leaf whatever their labels
 LABELS = 10
 ROWS = "vec_id long, label long, q binary"
 HITS = "anchor_id long, slot int, vec_id long, score long"
@@ -113,14 +114,20 @@ class Tree:
             nodes.append([start, end, -1, -1])
             if parent >= 0:
                 nodes[parent][2 + side] = k
-            if end - start <= leaf:
-                continue
             own = order[start:end]
-            with np.errstate(over="ignore", invalid="ignore"):
-                spread = np.nan_to_num(x[own].var(0)) if x.shape[1] else np.zeros(0)
-            mid = (end - start) // 2
-            if len(spread):
-                own = own[np.argsort(x[own, spread.argmax()], kind="stable")]
+            mixed = label[own].min() != label[own].max()
+            if end - start <= (FEW if mixed else leaf):
+                continue
+            if mixed:  # at the border between labels that is closest to the middle
+                own = own[np.argsort(label[own], kind="stable")]
+                borders = np.flatnonzero(np.diff(label[own])) + 1
+                mid = int(borders[np.abs(borders - (end - start) / 2).argmin()])
+            else:
+                mid = (end - start) // 2
+                with np.errstate(over="ignore", invalid="ignore"):
+                    spread = np.nan_to_num(x[own].var(0))
+                if len(spread):
+                    own = own[np.argsort(x[own, spread.argmax()], kind="stable")]
             order[start:end] = own
             stack += [(start + mid, end, k, 1), (start, start + mid, k, 0)]
         tree = cls(x[order], ids[order], label[order], order)
