@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from emberline.operators.evaluation import rank_metrics, threshold_sweep
 from emberline.operators.scoring import Artifact, score
+from emberline.session import materialize, release
 
 GRID = [round(0.2 + 0.01 * k, 2) for k in range(61)]
 
@@ -57,15 +58,17 @@ def out_of_fold(rows: DataFrame, features: list[str], label: str, group: str, c:
 
 def calibrated(rows: DataFrame, features: list[str], label: str, group: str, grid: tuple[float, ...] = (0.03, 0.3), k: int = 3, tolerance: float = 0.005) -> tuple[Artifact, dict[float, float]]:
     """The smallest C whose AUC is within tolerance of the best, with Platt's a and b and the F1 threshold, all out of fold; and the AUC of each C."""
-    held = {c: out_of_fold(rows, features, label, group, c, k).cache() for c in grid}
+    held = {c: materialize(out_of_fold(rows, features, label, group, c, k), "out-of-fold") for c in grid}  # written: a lost executor refits nothing
+    paths = [path for _, path in held.values()]
+    held = {c: oof for c, (oof, _) in held.items()}
     auc = {c: rank_metrics(oof, F.col("y"), F.round("logit", 6)).first()["roc_auc"] or 0.0 for c, oof in held.items()}
     c = min(x for x in grid if auc[x] >= max(auc.values()) - tolerance)
     x = VectorAssembler(inputCols=["logit"], outputCol="__x").transform(held[c])
     platt = LogisticRegression(featuresCol="__x", labelCol="y", standardization=False).fit(x)
     a, b = float(platt.coefficients[0]), float(platt.intercept)
     sweep = threshold_sweep(held[c], F.col("y"), 1 / (1 + F.exp(-(a * F.col("logit") + b))), GRID).orderBy(F.col("f1").desc(), "threshold").first()
-    for oof in held.values():
-        oof.unpersist()
+    for path in paths:
+        release(rows.sparkSession, path)
     base = fit(rows, features, label, c)
     return Artifact(base.features, base.median, base.mean, base.scale, base.coef, base.intercept, a, b, float(sweep["threshold"])), auc
 
