@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberline.functions.columns import let
+
 # Units and what they measure.
 REPLACEMENTS = (
     (r"(?i)^рН", "pH"),
@@ -15,6 +19,7 @@ REPLACEMENTS = (
     (r"(?i)\bg/t\b", "г/т"),
     (r"(?i)\bt/h\b|\btph\b", "т/ч"),
 )
+REPLACED = "|".join(f"(?:{pattern})" for pattern, _ in REPLACEMENTS)  # what none of them finds stays as it is
 UNITS = "%|г/т|кг/т|g/t|kg/t|мкм|µm|μm|um|мм|mm|т/ч|t/h|tph|ppm|°c|°с|℃"
 ACIDITY = "pH|рН"
 
@@ -33,14 +38,19 @@ def sentences(text: Column) -> Column:
 def clean_value(value: Column) -> Column:
     """Points for commas, single spaces, units in one spelling."""
     text = F.trim(F.regexp_replace(F.replace(F.coalesce(value, F.lit("")), F.lit(","), F.lit(".")), r"\s+", " "))
-    for pattern, replacement in REPLACEMENTS:
-        text = F.regexp_replace(text, pattern, replacement)
-    return text
+    return let(text, lambda t: F.when(t.rlike(REPLACED), reduce(lambda v, r: F.regexp_replace(v, *r), REPLACEMENTS, t)).otherwise(t))
 
 
 def parameter_label(value: Column, context: Column) -> Column:
     """What a value measures, by its unit and, for shares and millimetres, by the words around it; NULL where the unit says nothing."""
-    v, near = F.replace(F.lower(value), F.lit(" "), F.lit("")), F.lower(context)
+    return _label(value, F.lower(context))
+
+
+def _label(value: Column, near: Column) -> Column:
+    return let(F.replace(F.lower(value), F.lit(" "), F.lit("")), lambda v: _by_unit(v, near))
+
+
+def _by_unit(v: Column, near: Column) -> Column:
     has = lambda pattern: v.rlike(pattern)
     return (
         F.when(has("ph|рн"), "pH / кислотность")
@@ -66,20 +76,26 @@ def low_signal_label(kind: Column, label: Column) -> Column:
 def parameter_groups(docs: DataFrame, most: int = 12, examples: int = 8, contexts: int = 3, width: int = 220) -> DataFrame:
     """doc_id, label, total, examples, contexts: of each document the labels of the most values (ties by label), each with its most frequent values and its first sentences.
 
-    docs: doc_id, text, one row a document; whole texts are read. Values are counted in the shuffle by (document, label, value)
-    before any group is ordered. A context is a sentence's first `width` characters; a longer sentence stands once for each value.
+    docs: doc_id, text, one row a document; whole texts are read, once. Values and lines are counted in the shuffle by (document,
+    label, value or line) before any group is ordered. A context is a sentence's first `width` characters; a longer sentence
+    stands once for each value.
     """
     each = docs.select("doc_id", F.posexplode(sentences(F.col("text"))).alias("at", "sentence"))
-    found = each.select("doc_id", "at", "sentence", F.posexplode(F.regexp_extract_all("sentence", F.lit(MEASURED), F.lit(0))).alias("k", "raw"))
-    named = found.select("doc_id", "at", "k", "sentence", clean_value(F.col("raw")).alias("value")).withColumn("label", parameter_label(F.col("value"), F.col("sentence"))).where("label IS NOT NULL")
-    key = ["doc_id", "label"]
-    counts = named.groupBy(*key, "value").agg(F.count(F.lit(1)).alias("n"))
-    ranked = counts.withColumn("__rn", F.row_number().over(Window.partitionBy(*key).orderBy(F.col("n").desc(), "value")))
-    listed = lambda name: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__rn", name))), lambda x: x[name]), "|")
-    groups = ranked.groupBy(*key).agg(F.sum("n").alias("total"))
-    shown = ranked.where(F.col("__rn") <= examples).groupBy(*key).agg(listed("value").alias("examples"))
-    several = F.when(F.length("sentence") > width, F.struct("at", "k"))
-    lines = named.groupBy(*key, "sentence", several.alias("__own")).agg(F.min(F.struct("at", "k")).alias("first")).select(*key, F.substr("sentence", F.lit(1), F.lit(width)).alias("line"), "first")
-    lines = lines.withColumn("__rn", F.row_number().over(Window.partitionBy(*key).orderBy("first"))).where(F.col("__rn") <= contexts)
-    top = groups.withColumn("__rn", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("total").desc(), "label"))).where(F.col("__rn") <= most).drop("__rn")
-    return top.join(shown, key).join(lines.groupBy(*key).agg(listed("line").alias("contexts")), key)
+    # a value and its label come out of the generator: the optimizer would repeat a column's expression at every use of it
+    named = lambda near: lambda raw: let(clean_value(raw), lambda v: F.struct(v.alias("value"), _label(v, near).alias("label")))
+    measured = let(F.regexp_extract_all("sentence", F.lit(MEASURED), F.lit(0)), lambda raws: F.when(F.size(raws) > 0, let(F.lower("sentence"), lambda near: F.transform(raws, named(near)))))
+    found = each.select("doc_id", "at", "sentence", F.posexplode(measured).alias("k", "m")).where("m.label IS NOT NULL")
+    place = F.col("at").cast("long") * 2**32 + F.col("k")
+    kind = lambda is_value, item, own: F.struct(F.lit(is_value).alias("is_value"), item.alias("item"), own.cast("long").alias("own"))
+    kinds = F.array(kind(True, F.col("m.value"), F.lit(None)), kind(False, F.col("sentence"), F.when(F.length("sentence") > width, place)))
+    items = found.select("doc_id", F.col("m.label").alias("label"), place.alias("place"), F.inline(kinds))
+    counts = items.groupBy("doc_id", "label", "is_value", "item", "own").agg(F.count(F.lit(1)).alias("n"), F.min("place").alias("first"))
+    order = Window.partitionBy("doc_id", "label", "is_value").orderBy(F.when(F.col("is_value"), -F.col("n")).otherwise(F.col("first")), "item")
+    ranked = counts.withColumn("__rn", F.row_number().over(order))
+    listed = lambda which, item: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(which, F.struct("__rn", item.alias("item"))))), lambda x: x["item"]), "|")
+    groups = ranked.groupBy("doc_id", "label").agg(
+        F.sum(F.when(F.col("is_value"), F.col("n"))).alias("total"),
+        listed(F.col("is_value") & (F.col("__rn") <= examples), F.col("item")).alias("examples"),
+        listed(~F.col("is_value") & (F.col("__rn") <= contexts), F.substr("item", F.lit(1), F.lit(width))).alias("contexts"),
+    )
+    return groups.withColumn("__rn", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("total").desc(), "label"))).where(F.col("__rn") <= most).drop("__rn")

@@ -28,6 +28,13 @@ def test_contexts_are_the_first_sentences(spark):
     assert groups(spark, long)["Крупность / размер частиц"][2].split("|") == [long[:220]] * 2
 
 
+def test_texts_are_read_and_values_named_once(spark):
+    docs = spark.range(3).selectExpr("id AS doc_id", "concat(id, ' мкм') AS text")
+    plan = parameters.parameter_groups(docs)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert sum("Range (" in line for line in plan) == 1
+    assert not any("RLIKE" in line for line in plan if "Filter" in line)
+
+
 def test_low_signal_labels(spark):
     want = {"5 apple": False, "12 years": False, "pH 7.5": True, "5-10 %": True, "≈ 5 мм": True, "7": True, "≤ 3,5 г/т": True, "width 5": False, "5 mm wide": False, "": False}
     rows = spark.createDataFrame([(x,) for x in want], "label string").select("label", parameters.low_signal_label(F.lit("metric"), F.col("label")).alias("low"), parameters.low_signal_label(F.lit("process"), F.col("label")).alias("no"))
