@@ -92,6 +92,18 @@ def near_duplicates(docs: DataFrame, id_: str, text: str) -> DataFrame:
     return named.select("id", F.coalesce("duplicate_of", F.when(F.col("id") != F.col("rep"), F.col("rep"))).alias("duplicate_of"))
 
 
+def matched_earlier(docs: DataFrame, id_: str, text: str) -> DataFrame:
+    """id, is_duplicate: whether a document repeats or nearly repeats an earlier text, be that one itself a duplicate or not.
+
+    near_duplicates compares with survivors alone: a text whose only matches are duplicates survives there, and is one here.
+    """
+    marks, _ = materialize(shingled(docs, id_, text), "document-shingles")
+    first = marks.groupBy("content_hash").agg(F.min("id").alias("rep"))
+    matched = overlap_pairs(marks).select(F.col("later").alias("rep"), F.lit(True).alias("matched")).distinct()
+    named = marks.select("id", "content_hash").join(first, "content_hash").join(matched, "rep", "left")
+    return named.select("id", ((F.col("id") != F.col("rep")) | F.col("matched").isNotNull()).alias("is_duplicate"))
+
+
 def word_pairs(items: DataFrame, words: str, rule: Column, least: float = 0.5, neighbours: bool = True) -> DataFrame:
     """later, earlier of items (id, words array) that satisfy rule over columns a, b (words of the earlier and the later).
 
