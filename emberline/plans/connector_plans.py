@@ -159,7 +159,8 @@ SELECT doc_id, label, sum(n)::BIGINT AS total, string_agg(value, '|' ORDER BY rn
   (SELECT string_agg(sentence, '|' ORDER BY l.rn) FROM l WHERE l.doc_id = r.doc_id AND l.label = r.label AND l.rn <= 3) AS contexts FROM r GROUP BY doc_id, label""")
 def parameter_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as texts of several sentences in two scripts, with units, ranges, acidity and words that only look like units."""
-    docs = spark.sql(f"SELECT l_orderkey * 10 + l_linenumber AS doc_id, min({_TEXT}) AS text FROM {{lineitem}} GROUP BY 1", lineitem=table(spark, sf_dir, "lineitem"))
+    items = table(spark, sf_dir, "lineitem").select((c("l_orderkey") * 10 + c("l_linenumber")).alias("doc_id"), "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey", "l_quantity")
+    docs = items.repartition("doc_id").groupBy("doc_id").agg(F.min(F.expr(_TEXT)).alias("text"))  # numbers are shuffled, texts made where they meet
     return parameters.parameter_groups(docs)
 
 
